@@ -352,11 +352,11 @@ def flow_accumulation_mfd(spark, d):
 
 # Skeleton to network --------------------------------------------------------------------------------------------------
 
-def _skeleton(spark, d, t=44.0):
+def _skeleton(spark, d, t=49.0):
     return network.label_components(rasters.lineitem(spark, d).withColumn("skel", algebra.single_threshold("z", t)).withColumn("geo", ((F.col("y") * 31 + F.col("x") * 17) % 101).cast("double")))
 
 
-_LABELS = f"""WITH RECURSIVE li AS MATERIALIZED ({LI}), s AS MATERIALIZED (SELECT y, x, y * 64 + x AS id FROM li WHERE z > 44),
+_LABELS = f"""WITH RECURSIVE li AS MATERIALIZED ({LI}), s AS MATERIALIZED (SELECT y, x, y * 64 + x AS id FROM li WHERE z > 49),
     e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.id <> b.id),
     reach(id, root) AS (SELECT id, id FROM s UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id AND r.root < e.b),
     m AS MATERIALIZED (SELECT id, min(root) AS root FROM reach GROUP BY id),
