@@ -84,7 +84,7 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     index = build_index(docs, capacity, max_depth)
     total = index.agg(F.sum("group_size")).first()[0] or 0
     if keep_text:
-        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
+        rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))
         norm = normalised(F.col("text").cast("string"))
         left = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).alias("n_own"),
                            F.xxhash64(norm).alias("h"), F.sha2(F.encode(norm, "UTF-8"), 256).alias("digest"), "row")

@@ -275,7 +275,7 @@ def train(docs: DataFrame, shards: int = SHARDS) -> Model:
     hot: dict[int, tuple[int, int]] = {}
     free = n_shards
     for k in sorted(heavy):
-        own = max(1, round(heavy[k] / (tokens / n_shards)))
+        own = max(1, round(heavy[k] * n_shards / max(1, tokens)))
         hot[k] = (free, own)
         free += own
     route = Route(size, n_shards, hot)

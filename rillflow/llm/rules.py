@@ -192,5 +192,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     rules = learn(labelled(docs.select("doc_id", "text"), labels))
-    x = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    x = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     return judged(x, rules).filter("kept").select("row.*")
