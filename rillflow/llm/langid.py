@@ -133,14 +133,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, min_score: float = 0.02) -> DataFrame:
     """The rows of ``docs`` whose text is in a language that stands out, with all their columns."""
-    names = docs.columns
     profiles = learn(docs.select("doc_id", "text", "lang"), F.lit(True))
-    schema = docs.schema
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         model = Profiles(profiles)
         for b in batches:
-            got = [model.predict(t.as_py()) for t in b.column(names.index("text"))]
-            yield b.filter(pa.array([lang != "und" and score >= min_score for lang, score in got], pa.bool_()))
+            got = [model.predict(t.as_py()) for t in b.column("text")]
+            kept = pa.array([lang != "und" and score >= min_score for lang, score in got], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("row").filter(kept)], ["row"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")

@@ -33,6 +33,8 @@ from .common import components, skewless_left_join, stored
 SEED = 42
 BITS = 64
 TOP = 12  # leading bits of a partition whose value counts are gathered
+#: Of the deduplication stage: five words, and bits by which fingerprints of texts of similarity 0.8 or more may differ.
+STAGE_TAU = 5
 PROBE_COST = 4.0  # of writing a probe, against comparing a candidate
 
 
@@ -193,8 +195,8 @@ def _plan(reps: DataFrame, tau: int) -> tuple[list[list[int]], list[np.ndarray]]
     return choices[c], [counts[c, g] for g in range(len(choices[c]))]
 
 
-def links(reps: DataFrame, tau: int = 3) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints at most tau bits apart. reps: a stored table of distinct fp."""
+def _sides(reps: DataFrame, tau: int) -> tuple[DataFrame, DataFrame, list[list[int]]]:
+    """What is indexed (part, value, fp) and what is probed (part, value, q), and the bits of each part."""
     groups, counts = _plan(reps, tau)
     m = len(groups)
     total = tau - m + 1
@@ -224,16 +226,81 @@ def links(reps: DataFrame, tau: int = 3) -> DataFrame:
 
     x = reps.select("fp").mapInArrow(index, "part int, value long, fp long")
     q = reps.select("fp").mapInArrow(probe, "part int, value long, q long")
+    return x, q, groups
+
+
+def links(reps: DataFrame, tau: int = 3) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints at most tau bits apart. reps: a stored table of distinct fp."""
+    x, q, _ = _sides(reps, tau)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("q"))) <= tau
     found = q.join(x, (q["part"] == x["part"]) & (q["value"] == x["value"]) & (F.col("fp") != F.col("q")) & near)
     return found.select(F.least("fp", "q").alias("a"), F.greatest("fp", "q").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3) -> DataFrame:
-    """doc_id, fp, component_id, n_links of every row; component_id: the smallest doc_id reachable over links."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star to the least node for each component of the edges: as many edges as it has further nodes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[:len(a)], at[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    more = label != np.arange(len(nodes))
+    return nodes[more], nodes[label[more]]
+
+
+def stars(reps: DataFrame, tau: int) -> DataFrame:
+    """Edges with the same components as ``links``, but never more than there are probes.
+
+    In a dense group of near copies all pairs are links. Each cell of neighbouring values verifies its pairs in blocks and
+    gives a forest of what it found.
+    """
+    x, q, groups = _sides(reps, tau)
+    shift = max(0, min(map(len, groups)) - 10)
+    both = x.select("part", "value", "fp", F.lit(0).alias("probe")).union(q.select("part", "value", F.col("q").alias("fp"), F.lit(1).alias("probe")))
+
+    def run(table: pa.Table) -> pa.Table:
+        value, fp, probe = (table.column(c).to_numpy() for c in ("value", "fp", "probe"))
+        own = probe == 0
+        order = np.argsort(value[own], kind="stable")
+        known, at = fp[own][order], value[own][order]
+        query, wanted = fp[~own], value[~own]
+        first, last = np.searchsorted(at, wanted, "left"), np.searchsorted(at, wanted, "right")
+        ends = np.cumsum(last - first)
+        a = b = np.zeros(0, np.int64)
+        done = 0
+        while done < len(query):  # blocks of at most about 2^20 pairs, or of one query
+            before = ends[done - 1] if done else 0
+            upto = max(done + 1, int(np.searchsorted(ends, before + (1 << 20), "right")))
+            n = (last - first)[done:upto]
+            left = np.repeat(query[done:upto], n)
+            right = known[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[done:upto], n)]
+            near = (left != right) & (np.bitwise_count((left ^ right).view(np.uint64)) <= tau)
+            if near.any():
+                a, b = forest(np.concatenate([a, left[near]]), np.concatenate([b, right[near]]))
+            done = upto
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    cell = F.shiftright("value", shift).alias("cell")
+    return both.groupBy("part", cell).applyInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, count_links: bool = True) -> DataFrame:
+    """doc_id, fp, component_id, n_links of every row; component_id: the smallest doc_id reachable over links.
+
+    Without count_links dense groups are searched by ``stars`` and n_links counts the edges of the forest.
+    """
     own = stored(fingerprints(docs, words), "simhash-docs")
     reps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-reps")
-    edges = stored(links(reps, tau), "simhash-links")
+    edges = stored(links(reps, tau) if count_links else stars(reps, tau), "simhash-links")
     member = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     full = reps.join(member, F.col("fp") == F.col("node"), "left").drop("node").join(degree, F.col("fp") == F.col("node"), "left").drop("node")
@@ -245,7 +312,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3) -> DataFrame:
     return skewless_left_join(own, full, ["fp"], "n", n_docs or 0)
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, tau: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, tau: int = STAGE_TAU) -> DataFrame:
     """The rows of ``docs`` whose doc_id leads its component, with all their columns. Rows with a null doc_id stay."""
-    dropped = near_duplicates(docs, words, tau).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    dropped = near_duplicates(docs, words, tau, count_links=False).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(dropped, docs["doc_id"] == F.col("__gone"), "left_anti")
