@@ -17,7 +17,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no plan still to run refers to."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -37,7 +47,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = stored(both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "cc")
         small = large.join(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), F.col("a") == F.col("u"))
-        e = stored(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "cc")
+        old, e = e, stored(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "cc")
+        discard(old, large)
         now = mark(e)
         if now == was:
             break
@@ -60,9 +71,10 @@ def accumulate(pointers: DataFrame, rounds: int = 64) -> DataFrame:
             break
         more = s.filter("ptr is not null").groupBy("raster_id", F.col("ptr").alias("id")).agg(F.sum("acc").alias("more"))
         far = s.select("raster_id", F.col("id").alias("root"), F.col("ptr").alias("next"), F.col("root").alias("far"))
-        s = s.join(far, ["raster_id", "root"], "left").join(more, ["raster_id", "id"], "left")
-        s = stored(s.select("raster_id", "id", F.when(F.col("ptr").isNotNull(), F.col("next")).alias("ptr"),
-                            (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), F.coalesce("far", "root").alias("root")), "flow")
+        x = s.join(far, ["raster_id", "root"], "left").join(more, ["raster_id", "id"], "left")
+        old, s = s, stored(x.select("raster_id", "id", F.when(F.col("ptr").isNotNull(), F.col("next")).alias("ptr"),
+                                    (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), F.coalesce("far", "root").alias("root")), "flow")
+        discard(old)
     else:
         raise ValueError("the pointers hold a cycle")
     return s.select("raster_id", "id", "acc", "root")
