@@ -12,6 +12,10 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, stored
+
+__all__ = ["components", "documents", "local_path", "scratch", "shared_dir", "skewless_left_join", "stored"]
+
 WHITE = ("\t", "\n", "\x0b", "\x0c", "\r")
 
 #: A key counts as hot when it has more than this share of the rows, so there are
@@ -40,17 +44,6 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it again.
-
-    This cuts the lineage: rows survive lost executors, are computed once, and a later
-    join sees a plain exchange that adaptive execution can split.
-    """
-    at = scratch(df.sparkSession, what)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def local_path(uri: str) -> str | None:
     """The path of a shared folder that is mounted as files, else None."""
     u = urlparse(uri)
@@ -85,36 +78,3 @@ def skewless_left_join(left: DataFrame, right: DataFrame, keys: list[str], weigh
 
 def _zero(df: DataFrame, k: str) -> Column:
     return F.lit("" if dict(df.dtypes)[k] == "string" else 0).cast(dict(df.dtypes)[k])
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, root), root the least of its component.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes;
-    the number of edges never grows and each round is stored in the shared folder. Nodes
-    without an edge are not returned.
-    """
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc")
-    was = mark(e)
-    for _ in range(rounds):
-        if not was[0]:
-            break
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large, "cc")
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, F.col("a") == F.col("u"))
-        e = stored(small.select(F.col("a"), F.col("m").alias("b"))
-                   .union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "cc")
-        now = mark(e)
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError("components did not converge")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
