@@ -250,6 +250,19 @@ def gaussian_smooth_5x5(spark, d):
     return _out(stencil.smooth(rasters.formed(spark, "val"), 1.0, rows=32), "raster_id", "y", "x", z="z")
 
 
+_AT = {1: (-1, 1), 2: (-1, 0), 3: (-1, -1), 4: (0, -1), 5: (1, -1), 6: (1, 0), 7: (1, 1), 8: (0, 1)}
+
+
+@query("neighbour_gather", f"WITH li AS MATERIALIZED ({LI}) SELECT c.raster_id, c.y, c.x, " + ", ".join(f"n{k}.z AS n{k}" for k in _AT) + " FROM li c " + " ".join(f"LEFT JOIN li n{k} ON n{k}.y = c.y + ({dy}) AND n{k}.x = c.x + ({dx})" for k, (dy, dx) in _AT.items()))
+def neighbour_gather(spark, d):
+    return stencil.neighbours(rasters.lineitem(spark, d)).select("raster_id", "y", "x", *[f"n{k}" for k in _AT])
+
+
+@query("difference_next", f"SELECT raster_id, y, x, round(lead(z) OVER {_w('x')} - z, 6) + 0.0 AS d FROM ({EMB})")
+def difference_next(spark, d):
+    return _out(rasters.embeddings(spark, d).withColumn("d", F.lead("z").over(stencil.along()) - F.col("z")), "raster_id", "y", "x", d="d")
+
+
 @query("diffusion_catte")
 def diffusion_catte(spark, d):
     return _out(stencil.stencil_apply(rasters.embeddings(spark, d), stencil.catte_kernel(5, 0.2, 0.1, 0.5, "perona_malik_2"), 30), "raster_id", "y", "x", z="z")
@@ -287,6 +300,16 @@ for _name, _e in {"local_cost_default": "flow + flow_mean * skel + flow_mean * c
         return algebra.local_cost(_cost_layers(spark, d), expression).select("raster_id", "y", "x", _r("cost", 5).alias("cost"))
 
 
+@query("predefined_heads", f"SELECT raster_id, y, x FROM ({LI}) WHERE z = 50")
+def predefined_heads(spark, d):
+    return tables.heads_from(rasters.lineitem(spark, d).withColumn("z", (F.col("z") == 50).cast("double")))
+
+
+@query("finite_cells", f"SELECT raster_id, y, x, coalesce(z, 0) AS z, z IS NOT NULL AS valid FROM ({LI})")
+def finite_cells(spark, d):
+    return rasters.lineitem(spark, d).select("raster_id", "y", "x", F.coalesce("z", F.lit(0.0)).alias("z"), algebra.finite("z").alias("valid"))
+
+
 @query("masked_layer", f"SELECT raster_id, y, x, CASE WHEN z IS NOT NULL AND z >= 25 THEN z * 2 END AS flow FROM ({LI})")
 def masked_layer(spark, d):
     x = rasters.lineitem(spark, d).withColumn("flow", F.col("z") * 2).withColumn("z", algebra.mask_nodata("z", 25.0))
@@ -517,6 +540,18 @@ def network_of(spark: SparkSession, sf_dir: str) -> pipeline.Network:
     return pipeline.extract(cells, TerrainConfig())
 
 
+@query("network_heads")
+def network_heads(spark, d):
+    return network_of(spark, d).heads.select("raster_id", "label", "y", "x", "geo")
+
+
+@query("network_layers")
+def network_layers(spark, d):
+    """Every layer of the extraction of one raster, up to the cost."""
+    x, _ = pipeline.layers(rasters.formed(spark, "y"))
+    return x.select("raster_id", "y", "x", *[_r(c).alias(c) for c in ("z", "slope", "curvature", "flow", "cost")], "fdr", "basin", "flow_skel", "curv_skel", "skel")
+
+
 @query("network_extraction")
 def network_extraction(spark, d):
     """Flagship: the channel network of several rasters in one plan."""
