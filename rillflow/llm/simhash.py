@@ -34,7 +34,7 @@ SEED = 42
 BITS = 64
 TOP = 12  # leading bits of a partition whose value counts are gathered
 #: Of the deduplication stage: five words, and bits by which fingerprints of texts of similarity 0.8 or more may differ.
-STAGE_TAU = 5
+STAGE_TAU = 7
 PROBE_COST = 4.0  # of writing a probe, against comparing a candidate
 
 
