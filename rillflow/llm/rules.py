@@ -193,4 +193,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     rules = learn(labelled(docs.select("doc_id", "text"), labels))
     x = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return judged(x, rules).filter("kept").select("row.*")
+    # A filter moves below the statistics, with a copy of them for each use, unless its column depends on a row's place.
+    kept = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return judged(x, rules).select("row", kept.alias("kept")).filter("kept").select("row.*")
