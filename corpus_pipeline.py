@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import exact, langid, packing, rules, simhash
+from rillflow.llm import exact, jaccard, langid, packing, rules
 from rillflow.llm.common import documents, stored
 from rillflow.llm.queries import vocabulary
 
@@ -25,8 +25,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints of five-word shingles stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of texts linked by a Jaccard similarity of 0.8 or more over five-word shingles, the least doc_id stays."""
+    return jaccard.drop_near_duplicates(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,14 +46,18 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def text_fingerprint(text: str | None, words: int) -> int:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The hash of every word shingle of a text in turn; none of a text without words."""
     import xxhash
 
     w = (text or "").encode().lower().split()
-    if not w:
-        return 0
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    return fingerprint_of(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64))
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)] if w else []
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64)
+
+
+def text_fingerprint(text: str | None, words: int) -> int:
+    hashes = shingle_hashes(text, words)
+    return fingerprint_of(hashes) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -310,9 +314,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 3, count_links:
     full = skewless_left_join(full, head, ["root"], "__n", n_reps)
     full = stored(full.select("fp", "component_id", "n_links", "n"), "simhash-classes")
     return skewless_left_join(own, full, ["fp"], "n", n_docs or 0)
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5, tau: int = STAGE_TAU) -> DataFrame:
-    """The rows of ``docs`` whose doc_id leads its component, with all their columns. Rows with a null doc_id stay."""
-    dropped = near_duplicates(docs, words, tau, count_links=False).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("__gone"), "left_anti")
