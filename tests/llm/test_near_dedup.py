@@ -1,9 +1,69 @@
 """The near-duplicate stage against brute force over exact shingle sets."""
 
+import random
+
+import corpus_pipeline as cp
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from rillflow.llm import jaccard
 
+BOOK = [f"w{k}" for k in range(3000)]
+
+
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def groups(rows):
+    """The least doc_id of the component of each doc_id, over all pairs of similarity 0.8 or more."""
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    lead = {i: i for i in sets}
+
+    def find(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                lead[b] = a
+    return {i: find(i) for i in sets}
+
+
+def changed(rng, text, n):
+    w = text.split()
+    for k in rng.sample(range(len(w)), n):
+        w[k] = rng.choice(BOOK)
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Bases, each with copies of a few to many changed words: similarities on both sides of 0.8, chains among them."""
+    rng, out = random.Random(5), []
+    for _ in range(30):
+        base = " ".join(rng.choice(BOOK) for _ in range(rng.choice((60, 200, 700))))
+        out += [base] + [changed(rng, base, max(1, len(base.split()) * c // 1000)) for c in (5, 10, 18, 22, 25, 30, 45)]
+        out.append(changed(rng, out[-4], 2))
+    rng.shuffle(out)
+    return [*enumerate(out), (1000, None), (1001, " \t"), (1002, "one two"), (1003, "One  two"), (None, out[0]), (0, out[0])]
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 300])
+def test_stage_is_brute_force(spark, texts, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = cp.near_dedup(spark, docs, "").select("doc_id").collect()
+    want = groups(texts)
+    assert 30 < len(set(want.values())) < len(want) - 60
+    assert {r["doc_id"] for r in got} == {*want.values(), None}
+    assert cp.near_dedup(spark, docs.limit(0), "").collect() == [] and cp.near_dedup(spark, docs.withColumn("node", F.lit(1)), "").columns == ["doc_id", "text", "node"]
+
 
 def test_keys_find_similarity_of_exactly_eight_tenths():
     rng = np.random.default_rng(0)
