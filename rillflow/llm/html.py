@@ -3,10 +3,12 @@
 A page is cut into blocks at block-level tags; each has its word count and link density and
 those of its neighbours (Kohlschuetter et al., 2010), and whether it lies in an article, or in a region that the
 markup itself names as navigation, header, footer, side bar, form, notice, advert or comments. A CART
-tree trained on the small table below decides; the blocks it accepts are the text.
+tree trained on the small table below decides; the blocks it accepts are the text. Class names of a wrapper like "header-fixed" end
+at an article or main element in it, unless they are of what holds articles of its own (comments, related, adverts: FOREIGN).
 
 Defined cases: null or empty html gives the empty text; unclosed and stray tags are tolerated; html without
-tags is one block; script, style and form content is never text; repeated rows give repeated results.
+tags is one block; script, style and form content is never text; a self-closed element is empty; of a RAW element without an end
+tag only the tag is skipped, but script and style run to the end of the page; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -32,11 +34,17 @@ APART = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "fieldset
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscri\w*"
     r"|comments?|replies|disqus|respond|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|login|signup|search)(?:$|[\s_-])", re.I)
+#: Of these, names of regions with articles of their own.
+FOREIGN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|replies|disqus|respond|related|recommend\w*|widget)(?:$|[\s_-])", re.I)
+#: A class that says what a page has or lacks names no region.
+STATE = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S+", re.I)
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?P<inside>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>", re.S | re.I)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")  # the slash belongs to a value
 ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 FEATURES = ("prev_words", "prev_links", "words", "links", "next_words", "next_links", "apart", "article", "beside_article")
@@ -95,15 +103,16 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     parts: list[str] = []
     linked = 0
     link_depth = 0
-    stack: list[tuple[str, bool, bool]] = []
-    apart = article = False
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    tagged = layout = foreign = article = False  # apart by element, by a wrapper's class, by a class of FOREIGN; in an article
+    endless: set[str] = set()
 
     def end_block() -> None:
         nonlocal linked
         if parts:
             words = entities.unescape("".join(parts)).split()
             if words:
-                out.append((" ".join(words), len(words), min(1.0, linked / len(words)), apart, article))
+                out.append((" ".join(words), len(words), min(1.0, linked / len(words)), tagged or layout or foreign, article))
             parts.clear()
         linked = 0
 
@@ -115,9 +124,21 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                 linked += len(entities.unescape(piece).split())
 
     at = 0
-    for m in TAG.finditer(page):
+    while m := TAG.search(page, at):
         text(page[at:m.start()])
         at = m.end()
+        raw = (m["raw"] or "").lower()
+        if raw:
+            closed = m["inside"].endswith("/") and not UNQUOTED.search(m["inside"])
+            if not closed and raw not in endless:
+                end = RAW_END[raw].search(page, at)
+                if end:
+                    at = end.end()
+                elif raw in ("script", "style"):
+                    at = len(page)
+                else:
+                    endless.add(raw)
+            continue
         name = (m["name"] or "").lower()
         if not name:
             continue
@@ -131,14 +152,18 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    _, apart, article = stack[k]
+                    _, tagged, layout, foreign, article = stack[k]
                     del stack[k:]
                     break
         else:
-            stack.append((name, apart, article))
-            named = any(NAMED.search(" ".join(filter(None, a))) for a in ATTR.findall(m["attr"] or "")) and name not in ("article", "main", "body")
-            apart = apart or name in APART or named
-            article = article or name in ("article", "main")
+            stack.append((name, tagged, layout, foreign, article))
+            tagged = tagged or name in APART
+            if name in ("article", "main"):
+                layout, foreign, article = False, foreign and name == "article", True
+            elif name != "body":
+                names = [STATE.sub(" ", " ".join(filter(None, a))) for a in ATTR.findall(m["attr"] or "")]
+                layout = layout or any(map(NAMED.search, names))
+                foreign = foreign or any(map(FOREIGN.search, names))
     text(page[at:])
     end_block()
     return out
