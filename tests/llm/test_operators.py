@@ -94,6 +94,11 @@ def groups(fps, tau):
     return [find(k) for k in range(len(fps))]
 
 
+def group_of(got, fps, group):
+    of = dict(zip(fps, group))
+    return [of[r["fp"] % (1 << 64)] for r in got]
+
+
 @pytest.mark.parametrize("size, tau", [(3, 3), (5, 5)])
 def test_simhash(docs, rows, none, size, tau):
     import xxhash
@@ -108,13 +113,12 @@ def test_simhash(docs, rows, none, size, tau):
     group = groups(fps, tau)
     least = {g: min((i for i, h in zip(ids, group) if h == g and i is not None), default=None) for g in group}
     assert sorted((str(r["doc_id"]), r["fp"] % (1 << 64), r["component_id"]) for r in got) == sorted((str(i), f, least[g]) for i, f, g in zip(ids, fps, group))
-    one = simhash.near_duplicates(docs, size, tau, count_links=False).collect()
-    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in one) == sorted((str(r["doc_id"]), str(r["component_id"])) for r in got)
-    assert simhash.near_duplicates(none, size, tau).collect() == [] and simhash.near_duplicates(none, size, tau, False).collect() == []
+    assert sorted((f, n) for f, n in Counter(group).items()) == sorted({(g, r["component_size"]) for g, r in zip(group_of(got, fps, group), got)})
+    assert simhash.near_duplicates(none, size, tau).collect() == []
 
 
 @pytest.mark.parametrize("tau", [1, 2, 3, 5])
-def test_pigeonhole_finds_every_link(spark, tau):
+def test_pigeonhole_finds_every_link(spark, tau, monkeypatch):
     rng = np.random.default_rng(tau)
     base = rng.integers(0, 2**63, 120, dtype=np.uint64)
     fps = {int(x) for x in base}
@@ -123,9 +127,43 @@ def test_pigeonhole_finds_every_link(spark, tau):
             flips = rng.choice(64, rng.integers(1, 7), replace=False)
             fps.add(int(x) ^ sum(1 << int(b) for b in flips))
     fps = sorted(fps)
-    reps = spark.createDataFrame([(int(np.array(f, np.uint64).view(np.int64)), 1) for f in fps], "fp long, n long")
-    got = {frozenset((r["a"] % (1 << 64), r["b"] % (1 << 64))) for r in simhash.links(reps, tau).collect()}
-    assert got == {frozenset((a, b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= tau}
+    signed = [int(np.array(f, np.uint64).view(np.int64)) for f in fps]
+    reps = spark.createDataFrame([(f, f) for f in signed], "node long, fp0 long")
+    want = {frozenset((a, b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= tau}
+    for cell, block in ((1 << 16, 1 << 18), (64, 1 << 18), (128, 40)):  # one cell, several, and cells dealt in blocks
+        monkeypatch.setattr(simhash, "CELL", cell)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {frozenset((r["a"] % (1 << 64), r["b"] % (1 << 64))) for r in simhash.search(reps, tau, pairs=True).collect()}
+        assert got == want
+        edges = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.search(reps, tau).collect()]
+        assert joined(fps, edges) == joined(fps, want)
+
+
+def joined(nodes, edges):
+    """The least node of each node's component."""
+    least = {k: k for k in nodes}
+
+    def find(k):
+        while least[k] != k:
+            k = least[k]
+        return k
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        least[b] = a
+    return {k: find(k) for k in nodes}
+
+
+def test_bucket_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    at = np.sort(rng.integers(0, 4000, 500))
+    edges = simhash._bucket(np.arange(250), np.arange(250, 500), lambda a, b: np.abs(at[a] - at[b]) <= 3)
+    every = [(a, b) for a in range(250) for b in range(250, 500) if abs(at[a] - at[b]) <= 3]
+    found = [(int(a), int(b)) for x, y in edges for a, b in zip(x, y)]
+    assert all(abs(at[a] - at[b]) <= 3 for a, b in found)
+    want, got = joined(range(500), every), joined(range(500), found)
+    assert all(got[a] == got[b] for a, b in every) and len(found) < 4000
+    assert {k for k in want if want[k] == k} >= {k for k in got if got[k] == k}
 
 
 def test_allocation_sums_and_is_cheapest():
