@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, stored
 
-__all__ = ["components", "documents", "local_path", "scratch", "shared_dir", "skewless_left_join", "stored"]
+__all__ = ["components", "documents", "one_text", "local_path", "scratch", "shared_dir", "skewless_left_join", "stored"]
 
 WHITE = ("\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -27,6 +27,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``ids`` (doc_id, unique; a bounded sample) with one text each: of the least hash among rows of that doc_id."""
+    names = [c for c in ids.columns if c != "doc_id"]
+    known = ids.select(F.col("doc_id").alias("__id"), F.struct(*names).alias("__of")) if names else ids.select(F.col("doc_id").alias("__id"), F.lit(0).alias("__of"))
+    mine = docs.select("doc_id", "text").join(F.broadcast(known), docs["doc_id"] == F.col("__id"))
+    one = mine.groupBy("__id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "__of")).alias("one"))
+    return one.select(F.col("__id").alias("doc_id"), F.col("one.text").alias("text"), *[F.col(f"one.__of.{c}").alias(c) for c in names])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as a URI or path.
 
@@ -66,10 +75,11 @@ def skewless_left_join(left: DataFrame, right: DataFrame, keys: list[str], weigh
         *[F.col(k).alias(f"__c_{k}") for k in keys], F.lit(0).cast("long").alias("__c_own"), F.struct(*names).alias("__cold"))
     on_hot = [F.col(k) == F.col(f"__h_{k}") for k in keys]
     x = left.join(F.broadcast(hot), on_hot, "left").drop(*[f"__h_{k}" for k in keys])
-    own = F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(F.lit(1) + F.abs(F.xxhash64(F.rand(7))) % F.lit(1 << 40))
-    # A row that is answered, or that has a null key, must not meet its like in one task.
-    x = x.withColumn("__own", F.when(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)),
-                                     F.lit(1) + F.abs(F.xxhash64(F.rand(11))) % F.lit(1 << 40)).otherwise(own))
+    # A row that is answered, or that has a null key, must not meet its like in one task. A hash of the row, unlike a random
+    # number, sends it to the same task when one is run again.
+    salt = F.lit(1) + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(1 << 40))
+    spread = F.col("__hot").isNotNull() | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    x = x.withColumn("__own", F.when(spread, salt).otherwise(F.lit(0).cast("long")))
     on_cold = [F.coalesce(F.col(k), _zero(left, k)) == F.col(f"__c_{k}") for k in keys] + [F.col("__own") == F.col("__c_own")]
     x = x.join(cold, on_cold, "left")
     got = F.coalesce(F.col("__hot"), F.col("__cold"))

@@ -7,7 +7,7 @@ each profile; an n-gram that is missing costs the profile's length.
 Texts are lower-cased; each run of characters that are no letters is one mark between words.
 Defined cases: null texts, and texts without letters, are ``und`` with score 0; ties between
 languages go to the first by name; equally frequent n-grams rank by code; null labels are not learned from;
-without any label all texts are ``und``; repeated rows give repeated results.
+without any label all texts are ``und``; repeated rows give repeated results, and of contrary labels of a doc_id the first by name is learned from.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many labelled rows, those of the least hash of doc_id, are learned from.
+from .common import one_text
+
+#: At most so many labelled documents, those of the least hash of doc_id, are learned from, each with one text.
 SAMPLE = 4000
 PROFILE = 400
 LONGEST = 1 << 20  # characters counted at a time
@@ -33,20 +35,21 @@ def _letters() -> np.ndarray:
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The 1- to 3-grams of a whole text, as codes of 21 bits a character in ascending order, and their counts."""
     codes, counts = [], []
-    for k in range(0, len(text), LONGEST):  # parts share two characters, so that no n-gram is lost or met twice
-        part = text[k:k + LONGEST].lower()
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        is_letter = _letters()[c]
-        if not is_letter.any():
-            continue
-        c = np.where(is_letter, c, 32)
-        c = np.concatenate([[32], c, [32]])
+    text = text.lower()  # as a whole: the case of a letter may hang on its neighbours
+    tail = np.array([32])
+    for k in range(0, len(text) + 1, LONGEST):  # the last two characters go on to the next part, which counts what ends in it
+        c = np.frombuffer(text[k:k + LONGEST].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        c = np.concatenate([tail, np.where(_letters()[c], c, 32), [32] if k + LONGEST > len(text) else np.zeros(0, np.int64)])
         c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
-        two = c[:-1] << 21 | c[1:]
-        three = two[:-1] << 21 | c[2:]
-        x, n = np.unique(np.concatenate([c[c != 32], two, three[c[1:-1] != 32]]), return_counts=True)
-        codes.append(x)
-        counts.append(n)
+        n = len(tail)
+        one, two = c[n:], (c[:-1] << 21 | c[1:])[n - 1:]
+        three = (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[max(0, n - 2):]
+        three = three[(three >> 21 & 0x1FFFFF) != 32]
+        tail = c[-2:]
+        if len(c) > n and len(found := np.concatenate([one[one != 32], two, three])):
+            x, n = np.unique(found, return_counts=True)
+            codes.append(x)
+            counts.append(n)
     if not codes:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(codes) == 1:
@@ -65,8 +68,8 @@ def most_frequent(codes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
 def learn(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, k: int = PROFILE) -> dict[str, list[int]]:
     """The profile of each language: its k most frequent n-grams over whole texts of the sample."""
     rows = docs.select("doc_id", "lang").filter(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    ids = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
-    mine = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), docs["doc_id"] == F.col("__id")).select("__lang", "text")
+    ids = rows.groupBy("doc_id").agg(F.min("lang").alias("__lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    mine = one_text(docs.filter("text is not null"), ids).select("__lang", "text")
 
     def count(batches):
         for b in batches:

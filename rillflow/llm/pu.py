@@ -1,13 +1,14 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk estimator.
 
 Positives are trusted rows (``labels.quality`` = 1), the unlabelled rows are a sample of the
-web text itself; negatives are never learned from. With class prior p the risk is
-p R+(positives) + max(0, R-(unlabelled) - p R-(positives)) (Kiryo et al., 2017). The prior is the smoothed share of
-label 1 among the labelled training rows.
+web text itself; rows of label 0 are not told from others. With class prior p the risk is
+p R+(positives) + max(0, R-(unlabelled) - p R-(positives)) (Kiryo et al., 2017). The prior is estimated from the same two samples
+by the best bin (Garg et al., 2021): the least ratio, with a margin for the sample's size, of the shares of unlabelled and of positive rows that
+a classifier of the one against the other, trained on the other halves, puts above a threshold.
 
 The model is linear in shape statistics of the whole text. Defined cases: null text is empty text and gets a score;
-repeated rows get equal scores; null labels are not learned from; without a positive, or without
-unlabelled rows, every score is the prior.
+repeated rows get equal scores; null labels are not learned from; of texts that share a doc_id the one of the least hash is learned from; without
+a positive, or without unlabelled rows, every score is 1/2.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import one_text
 from .langid import held_out
 
-#: At most so many trusted and so many unlabelled rows, those of the least hash of doc_id, are learned from.
+#: At most so many trusted and so many unlabelled documents, those of the least hash of doc_id, are learned from, each with one text.
 SAMPLE = 5000
 
 _CLASSES = np.full(256, 9, np.int64)  # of bytes; 9: other marks
@@ -46,8 +48,12 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([shares, np.log(shares + 0.003), [np.log1p(n) / 8, min(1.0, n / 50)]])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimise the non-negative risk with the logistic loss. Returns mean, scale and weights (bias last)."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4,
+        supervised: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimise the non-negative risk with the logistic loss; supervised: that of the one sample against the other, in equal parts.
+
+    Returns mean, scale and weights (bias last).
+    """
     everything = np.vstack([positive, unlabelled])
     mean, scale = everything.mean(axis=0), everything.std(axis=0) + 1e-6
     p = np.hstack([np.clip((positive - mean) / scale, -6, 6), np.ones((len(positive), 1))])
@@ -62,6 +68,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         minus = (u * sigmoid(gu)[:, None]).mean(axis=0) - prior * (p * sigmoid(gp)[:, None]).mean(axis=0)
         plus = -prior * (p * (1 - sigmoid(gp))[:, None]).mean(axis=0)
         grad = plus + minus if negative >= 0 else -minus
+        if supervised:
+            grad = (u * sigmoid(gu)[:, None]).mean(axis=0) / 2 - (p * (1 - sigmoid(gp))[:, None]).mean(axis=0) / 2
         grad = grad + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
@@ -74,6 +82,18 @@ def predict(x: np.ndarray, model: tuple) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, by the best bin."""
+    p, u = (predict(x[1::2], fit(positive[::2], unlabelled[::2], 0.5, supervised=True)) for x in (positive, unlabelled))
+    if not len(p) or not len(u):
+        return 0.5
+    at = np.unique(p)
+    above = [1 - np.searchsorted(np.sort(x), at, "left") / len(x) for x in (p, u)]
+    slack = np.sqrt(np.log(4 / margin) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = int(np.argmin((above[1] + 1.01 * slack) / above[0]))
+    return float(min(0.95, max(0.05, above[1][best] / above[0][best])))
+
+
 def _vectors(docs: DataFrame, name: str = "x") -> DataFrame:
     def run(batches):
         for b in batches:
@@ -84,20 +104,18 @@ def _vectors(docs: DataFrame, name: str = "x") -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple | float:
-    """A model from training rows only, or the prior where nothing can be learned."""
+    """A model from training rows only, or 1/2 where nothing can be learned."""
     train = ~held_out(3, 1)
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("q")).filter(train & F.col("q").isNotNull() & F.col("doc_id").isNotNull())
-    ones, n = known.agg(F.coalesce(F.sum((F.col("q") == 1).cast("int")), F.lit(0)), F.count(F.lit(1))).first()
-    prior = float(min(0.95, max(0.05, (ones + 1) / (n + 2))))
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    trusted = known.filter("q = 1").select("doc_id").distinct().orderBy(*by_hash).limit(sample)
-    ids = docs.select("doc_id").filter(train & F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")).limit(sample)
-    picked = trusted.withColumn("kind", F.lit(1)).union(ids.withColumn("kind", F.lit(0))).withColumnRenamed("doc_id", "__id")
-    mine = docs.select("doc_id", "text").join(F.broadcast(picked), docs["doc_id"] == F.col("__id"))
-    rows = sorted((r["kind"], tuple(r["x"])) for r in _vectors(mine).collect())  # at most 2 * sample short vectors
+    known = labels.filter((F.col("quality").cast("int") == 1) & train & F.col("doc_id").isNotNull())
+    trusted = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = docs.select("doc_id").filter(train & F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample)
+    texts = [one_text(docs, picked).withColumn("kind", F.lit(kind)) for kind, picked in ((1, trusted), (0, ids))]
+    rows = sorted((r["kind"], tuple(r["x"])) for r in _vectors(texts[0].unionByName(texts[1])).collect())  # at most 2 * sample short vectors
     positive = np.array([x for k, x in rows if k == 1])
     unlabelled = np.array([x for k, x in rows if k == 0])
-    return fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else prior
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    return fit(positive, unlabelled, estimated_prior(*(np.random.default_rng(0).permutation(x) for x in (positive, unlabelled))))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -7,7 +7,8 @@ enough. The list becomes one CASE expression whose first true rule decides.
 
 Defined cases: null text has no words and fails the base rules; so do empty texts; ties in learning go to the
 first statistic by name, then the least threshold; unlabelled or null labels are not learned
-from; with no label of either kind the list is empty and the base rules alone decide.
+from; of contrary labels of a doc_id the lower counts, of texts that share one the one of the least hash; with no label of
+either kind the list is empty and the base rules alone decide.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, one_text
 
-#: At most so many labelled rows, those of the least hash of doc_id, are learned from.
+#: At most so many labelled documents, those of the least hash of doc_id, are learned from.
 SAMPLE = 4000
 SYMBOLS = "#*$%&|<>"
 
@@ -165,9 +166,9 @@ def as_column(rules: list[Rule]) -> Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[dict]:
     """Statistics and quality of at most ``sample`` labelled rows. The bound makes the broadcast and the collection small."""
-    picked = (labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("label")).filter("__id is not null and label is not null")
-              .dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(sample))
-    mine = docs.select("doc_id", "text").join(F.broadcast(picked), docs["doc_id"] == F.col("__id")).dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label is not null")
+    picked = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    mine = one_text(docs, picked)
     # Texts that the base rules reject, such as very short ones, teach nothing to the list.
     return [r.asDict() for r in statistics(mine).filter(~base_failed()).select("label", *FEATURES).collect()]
 

@@ -209,7 +209,7 @@ def test_bpe_like_the_library(text):
 # 4 --------------------------------------------------------------------------------------------------------------------
 
 def test_exact(docs, rows, none, clashing):
-    got = exact.exact_groups(docs, capacity=4, max_depth=6).collect()
+    got = exact.exact_groups(docs, capacity=4).collect()
     norm = ["".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r") for _, t, *_ in rows]
     size = Counter(norm)
     best = {}
@@ -223,14 +223,30 @@ def test_exact(docs, rows, none, clashing):
     assert kept.columns == clashing.columns and kept.count() == sum(w[3] for w in want)
 
 
+@pytest.mark.parametrize("hashed", [lambda c: F.shiftleft(F.xxhash64(c), 63), lambda c: F.lit(5).cast("long"), lambda c: F.shiftright(F.xxhash64(c), 61)])
+def test_exact_walks_chains(docs, rows, clashing, hashed, monkeypatch):
+    """With hashes of one bit, of none and of three low bits the answers are those of whole hashes."""
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") == 0, F.lit(-(1 << 63)).cast("long")).otherwise(F.col("doc_id")))
+    order = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    want = sorted(map(str, exact.exact_groups(odd).select(*order).collect()))
+    kept = sorted(str(r["doc_id"]) for r in exact.drop_duplicates(clashing).collect())
+    monkeypatch.setattr(exact, "HASH", hashed)
+    assert sorted(map(str, exact.exact_groups(odd, capacity=1).select(*order).collect())) == want
+    assert sorted(str(r["doc_id"]) for r in exact.drop_duplicates(clashing).collect()) == kept
+
+
 def test_directory_splits_overfull_buckets(spark):
-    index = spark.range(5000).select(F.xxhash64("id").alias("h"))
-    d = exact.directory(index, capacity=100, max_depth=10)
-    cells = index.withColumn("cell", F.shiftrightunsigned("h", 54).cast("int")).join(d, "cell")
+    index = spark.range(5000).select(F.xxhash64("id").alias("h"), F.lit(1).cast("long").alias("n"))
+    d, depth = exact.directory(index, capacity=100)
+    cells = index.withColumn("cell", F.shiftrightunsigned("h", 64 - depth)).join(d, "cell")
     assert cells.count() == 5000
     size = cells.groupBy("bucket", "depth").count().collect()
     assert max(r["count"] for r in size) <= 100 and len({r["bucket"] for r in size}) == len(size)
-    assert [r["depth"] for r in exact.directory(index, capacity=5000).select("depth").distinct().collect()] == [0]
+    d, depth = exact.directory(index, capacity=5000)
+    assert depth == 0 and [tuple(r) for r in d.collect()] == [(0, 5000, 0, 0)]
+    close = spark.range(300).select(F.col("id").alias("h"), F.lit(1).cast("long").alias("n"))  # keys that differ in their last bits only
+    d, depth = exact.directory(close, capacity=100)
+    assert depth > 55 and d.groupBy("bucket").agg(F.sum("__n").alias("n")).filter("n > 100").count() == 0
 
 
 # 5 --------------------------------------------------------------------------------------------------------------------
