@@ -337,7 +337,81 @@ def test_html(spark):
 
 
 def test_tree_fits_its_table():
-    assert all(html.accepted(r[:-1], html.tree()) == bool(r[-1]) for r in html.TABLE)
+    rows = html.table()
+    assert len({r[:-1] for r in rows}) == len({*rows})
+    assert all(html.accepted(r[:-1], html.tree()) == bool(r[-1]) for r in rows)
+
+
+def test_tree_tests_words_and_neighbours():
+    def asked(node):
+        return {html.FEATURES[node[0]]} | asked(node[2]) | asked(node[3]) if isinstance(node, tuple) else set()
+
+    assert asked(html.tree()) >= {"words", "links", "prev_words", "prev_links", "next_words", "next_links"}
+    long, menu = "word " * 40, "<ul><li><a href=x>One</a><li><a href=y>Two three</a></ul>"
+    assert html.main_text(f"{menu}<div>Send us a note</div>{menu}<h1>A title</h1><p>{long}</p><p>Short.</p>{menu}<p>All of the rights</p>") == f"A title {long.strip()} Short."
+    both = f'<div class="related-work"><h2>Related work</h2><p>{long}</p></div><div class="related-work"><p>Share this</p></div>'
+    assert html.main_text(f"<article><p>Hi.</p>{both}{menu}</article>") == f"Hi. Related work {long.strip()}"
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><p>Hello <svg class="i"/> world</p><p>Second</p></article>', "Hello world Second"),
+    ("<datalist><option>a<option>b</datalist><article><p>Hi there</p></article>", "Hi there"),
+    ('<article><p>One</p><div class="social-history"><p>' + "word " * 20 + "</p></div></article>", "One " + "word " * 19 + "word")])
+def test_no_text_is_lost(page, text):
+    assert html.main_text(page) == text
+
+
+class Reader(__import__("html.parser").parser.HTMLParser):
+    """Blocks of well-formed pages by the library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.words, self.linked, self.open, self.link = [], [], 0, [], False
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = "".join(self.words).split()
+        if text:
+            apart = {"nav", "footer", "head", "header", "aside", "form"} & {t for t, _ in self.open}
+            self.out.append((" ".join(text), len(text), min(1.0, self.linked / len(text)), bool(apart), any(c == "ad" for _, c in self.open), False, any(t == "article" for t, _ in self.open)))
+        self.words, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html.BLOCK:
+            self.end()
+        if tag in html.REGION or tag in ("title", "script", "style"):
+            self.open.append((tag, dict(attrs).get("class")))
+        self.link = tag == "a" or self.link and tag not in html.BLOCK
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCK:
+            self.end()
+        if tag in {t for t, _ in self.open}:
+            while self.open.pop()[0] != tag:
+                pass
+        self.link = self.link and tag != "a" and tag not in html.BLOCK
+
+    def handle_data(self, data):
+        if not {"title", "script", "style"} & {t for t, _ in self.open}:
+            self.words.append(data)
+            self.linked += len(data.split()) if self.link else 0
+
+
+def test_pages_by_another_parser(spark):
+    """Blocks, features and text of all pages of the table by a plain reading of each."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    assert len(rows) > 200
+    for r in rows:
+        found = Reader(r["html"]).out
+        assert html.blocks(r["html"]) == found
+        kept = []
+        for k, b in enumerate(found):
+            p, n = found[k - 1] if k else ("", 0, 0.0), found[k + 1] if k + 1 < len(found) else ("", 0, 0.0)
+            row = (p[1], p[2], b[1], b[2], n[1], n[2], b[3], b[4], b[5], b[6], not b[6] and any(x[6] and not x[3] and not x[4] for x in found))
+            kept += [b[0]] if html.accepted(row, html.tree()) else []
+        assert html.main_text(r["html"]) == " ".join(kept) == " ".join(b[0] for b in found if b[6])
 
 
 # 8 and 9 --------------------------------------------------------------------------------------------------------------
