@@ -26,7 +26,7 @@ from .simhash import SEED, fingerprint_of, search, shingle_hashes
 
 SIMILARITY = (4, 5)  # as a fraction, so that the comparison is exact
 WORDS, TAU, LIMIT = 4, 31, 64
-BLOCK = 1 << 18  # shingles of a block: two of them meet in a task
+BLOCK = 1 << 16  # shingles of a block: two of them meet in a task
 CELLS = 64
 
 
@@ -137,4 +137,6 @@ def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs`` whose doc_id leads its group, with all their columns."""
     dropped = near_groups(docs, words).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("__gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("__id"))
+    # Stored, its size is known: where it is small the rows stay in place.
+    return rows.join(stored(dropped, "near-gone"), F.col("__id") == F.col("__gone"), "left_anti").select("row.*")

@@ -36,6 +36,7 @@ BITS = 64
 TOP = 12  # leading bits of a partition whose value counts are gathered, at least
 MOST_TOP = 16  # at most, which bounds what the driver holds
 CELL = 1 << 16  # fingerprints of a cell aimed at
+LEAST = 4  # leading bits that name a cell, at least
 BLOCK = 1 << 18  # fingerprints of a cell beyond which it is dealt as pairs of blocks
 CHUNK = 1 << 13  # shingles counted at a time
 PROBE_COST = 4.0  # of a probe, against comparing a candidate
@@ -193,7 +194,7 @@ class Plan:
         self.parts, self.counts = parts, counts
         self.total = tau - len(parts) + 1
         self.most = max(0, min(self.total + len(parts) - 1, -(-self.total // len(parts)) + 1))
-        top = max(0, (max(1, n) - 1).bit_length() - (CELL.bit_length() - 1))
+        top = max(LEAST, (max(1, n) - 1).bit_length() - (CELL.bit_length() - 1))
         self.top = [min(top, len(c).bit_length() - 1) for c in counts]
 
     def blocks(self) -> list[np.ndarray]:

@@ -62,7 +62,7 @@ def test_stage_is_brute_force(spark, texts, block, monkeypatch):
     want = groups(texts)
     assert 30 < len(set(want.values())) < len(want) - 60
     assert {r["doc_id"] for r in got} == {*want.values(), None}
-    assert cp.near_dedup(spark, docs.limit(0), "").collect() == [] and cp.near_dedup(spark, docs.withColumn("node", F.lit(1)), "").columns == ["doc_id", "text", "node"]
+    assert cp.near_dedup(spark, docs.limit(0), "").collect() == [] and cp.near_dedup(spark, docs.withColumn("node", F.lit(1)).withColumn("__gone", F.lit(1)), "").columns == ["doc_id", "text", "node", "__gone"]
 
 
 def test_most_pairs_of_exactly_eight_tenths_are_met(spark):
