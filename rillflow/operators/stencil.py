@@ -128,14 +128,19 @@ def gaussian_weights(variance: float, size: int = 5) -> np.ndarray:
 
 
 def smoothing_kernel(variance: float, size: int = 5) -> Callable:
-    """Gaussian smoothing; two lines beyond each edge are the mean of the two lines at that edge."""
+    """Gaussian smoothing; two lines beyond each edge are the mean of what is known of the two lines at that edge."""
     weights = gaussian_weights(variance, size)
     pad = size // 2
 
+    def mean(z: np.ndarray, axis: int) -> np.ndarray:
+        known = ~np.isnan(z)
+        n = known.sum(axis=axis, keepdims=True)
+        return np.where(n, np.where(known, z, 0).sum(axis=axis, keepdims=True) / np.maximum(n, 1), np.nan)
+
     def kernel(z: np.ndarray) -> np.ndarray:
-        left, right = z[:, :2].mean(axis=1, keepdims=True), z[:, -2:].mean(axis=1, keepdims=True)
+        left, right = mean(z[:, :2], 1), mean(z[:, -2:], 1)
         wide = np.hstack([left] * pad + [z] + [right] * pad)
-        top, bottom = wide[:2].mean(axis=0, keepdims=True), wide[-2:].mean(axis=0, keepdims=True)
+        top, bottom = mean(wide[:2], 0), mean(wide[-2:], 0)
         wide = np.vstack([top] * pad + [wide] + [bottom] * pad)
         ny, nx = z.shape
         return sum(weights[i, j] * wide[i:i + ny, j:j + nx] for i in range(size) for j in range(size))

@@ -195,9 +195,21 @@ def histogram_values(spark, d):
     return _out(stats.histogram(rasters.embeddings(spark, d), "z", 20), "raster_id", "bin", "count", low="low", high="high")
 
 
-@query("qq_plot")
+def _ratio(of: tuple, x: str) -> str:
+    over, under = ("".join("(" for _ in part[1:]) + f"{part[0]!r}::DOUBLE" + "".join(f" * ({x}) + {c!r}::DOUBLE)" for c in part[1:]) for part in of)
+    return f"{over} / {under}"
+
+
+_TAIL = f"CASE WHEN r <= 5 THEN {_ratio(stats.MIDDLE, 'r - 1.6::DOUBLE')} ELSE {_ratio(stats.FAR, 'r - 5')} END"
+
+
+@query("qq_plot", f"WITH s AS (SELECT raster_id, v AS ordered, k, n, CASE WHEN k = n THEN pow(0.5::DOUBLE, 1.0::DOUBLE / n) WHEN k = 1 THEN 1 - pow(0.5::DOUBLE, 1.0::DOUBLE / n) ELSE (k - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM ({_RANKED})), "
+       "t AS (SELECT *, p - 0.5::DOUBLE AS q, sqrt(-ln(least(p, 1 - p))) AS r FROM s), "
+       f"u AS (SELECT *, CASE WHEN abs(q) <= 0.425::DOUBLE THEN {_ratio(stats.CENTRE, '0.180625::DOUBLE - q * q')} * q WHEN q < 0 THEN -({_TAIL}) ELSE {_TAIL} END AS theoretical FROM t) "
+       "SELECT raster_id, CAST(k AS INT) AS k, round(ordered, 6) + 0.0 AS ordered, round(theoretical, 6) + 0.0 AS theoretical, round(regr_slope(ordered, theoretical) OVER (PARTITION BY raster_id), 6) + 0.0 AS slope, "
+       "round(regr_intercept(ordered, theoretical) OVER (PARTITION BY raster_id), 6) + 0.0 AS intercept FROM u")
 def qq_plot(spark, d):
-    return stats.qq_points(rasters.embeddings(spark, d), "z")
+    return _out(stats.qq_points(rasters.embeddings(spark, d), "z"), "raster_id", "k", ordered="ordered", theoretical="theoretical", slope="slope", intercept="intercept")
 
 
 # Stencils -------------------------------------------------------------------------------------------------------------
@@ -234,7 +246,7 @@ def diffusion_kernel_3iter(spark, d):
     return _out(stencil.diffuse(rasters.lineitem(spark, d), 3, 8.0, rows=16), "raster_id", "y", "x", z="z")
 
 
-@query("diffusion_kernel_30iter")
+@query("diffusion_kernel_30iter", f"SELECT raster_id, y, x, round(z, 6) + 0.0 AS z FROM ({_diffused(EMB, '0.2::DOUBLE', 2, 30)})")
 def diffusion_kernel_30iter(spark, d):
     return _out(stencil.diffuse(rasters.embeddings(spark, d), 30, 0.2), "raster_id", "y", "x", z="z")
 
@@ -368,9 +380,14 @@ def flow_priority_flood(spark, d):
     return flow.accumulation(stored(flow.priority_flood(rasters.lineitem(spark, d)), "flood")).select("raster_id", "y", "x", "fdr", "level", "fac", "basin")
 
 
-@query("flow_accumulation_mfd")
+@query("flow_accumulation_mfd", f"""WITH RECURSIVE r AS MATERIALIZED ({_form('y')}),
+    s AS (SELECT c.y, c.x, n.y AS ty, n.x AS tx, pow((c.z - n.z) / CASE WHEN o.dy <> 0 AND o.dx <> 0 THEN sqrt(2) ELSE 1 END, 1.1::DOUBLE) AS share FROM r c, {_NEAR}, r n WHERE n.y = c.y + o.dy AND n.x = c.x + o.dx AND n.z < c.z),
+    w AS MATERIALIZED (SELECT y, x, ty, tx, share / sum(share) OVER (PARTITION BY y, x) AS part FROM s),
+    walk(step, y, x, water) AS (SELECT 0, y, x, 1.0::DOUBLE FROM r UNION ALL SELECT step, y, x, water FROM (SELECT any_value(a.step) + 1 AS step, w.ty AS y, w.tx AS x, sum(a.water * w.part) AS water FROM walk a JOIN w ON w.y = a.y AND w.x = a.x GROUP BY w.ty, w.tx))
+    SELECT 'y' AS raster_id, y, x, round(sum(water), 4) + 0.0 AS mfd FROM walk GROUP BY y, x""")
 def flow_accumulation_mfd(spark, d):
-    return _out(flow.priority_flood(rasters.formed(spark, "y"), accumulate_mfd=True), "raster_id", "y", "x", "fdr", mfd="mfd")
+    """On a raster without pits, whose levels are its elevations."""
+    return flow.priority_flood(rasters.formed(spark, "y"), accumulate_mfd=True).select("raster_id", "y", "x", _r("mfd", 4).alias("mfd"))
 
 
 # Skeleton to network --------------------------------------------------------------------------------------------------
@@ -441,12 +458,24 @@ def visit_counts(spark, d):
     return network.visit_counts(_paths(spark))
 
 
-@query("reach_segments")
+# A path ends where it meets a cell that begins a reach already; other changes of the number of paths are junctions.
+_REACHES = _PATHS + f""", v AS MATERIALIZED (SELECT path_id, seq, y, x, CAST(y AS BIGINT) * {NX} + x AS id, count(*) OVER (PARTITION BY y, x) AS n FROM w),
+    c AS (SELECT *, n <> lag(n) OVER (PARTITION BY path_id ORDER BY seq) AS turn FROM v),
+    g AS MATERIALIZED (SELECT path_id, min(id) FILTER (seq = 0) AS head, coalesce(list(id ORDER BY seq) FILTER (turn), []) AS ids, coalesce(list(seq ORDER BY seq) FILTER (turn), []) AS seqs FROM c GROUP BY path_id),
+    st(path_id, starts, seqs, stop, before) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(0 AS BIGINT)
+      UNION ALL SELECT path_id, list_concat(starts, list_prepend(head, ids[1:k - 1])), CAST(seqs[1:k - 1] AS BIGINT[]), CAST(seqs[k] AS BIGINT), before
+        FROM (SELECT g.path_id, st.starts, g.head, g.ids, g.seqs, coalesce(list_filter(range(1, len(g.ids) + 1), lambda i: list_contains(list_append(st.starts, g.head), g.ids[i]))[1], len(g.ids) + 1) AS k,
+              st.before + CASE WHEN st.path_id = 0 THEN 0 ELSE len(st.seqs) + 1 END AS before FROM st JOIN g ON g.path_id = st.path_id + 1)),
+    q AS (SELECT v.path_id, v.seq, v.y, v.x, st.seqs, st.before, len(list_filter(st.seqs, lambda s: s < v.seq)) AS j, list_contains(st.seqs, v.seq) AS junction FROM v JOIN st USING (path_id) WHERE st.stop IS NULL OR v.seq <= st.stop) """
+
+
+@query("reach_segments", _REACHES + """SELECT 'val' AS raster_id, CAST(before + j + 1 AS INT) AS reach_id, CAST(seq - CASE WHEN j = 0 THEN 0 ELSE seqs[j] END AS INT) AS seq, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM q
+    UNION ALL SELECT 'val', CAST(before + j + 2 AS INT), 0, CAST(y AS INT), CAST(x AS INT) FROM q WHERE junction""")
 def reach_segments(spark, d):
     return network.reaches(_paths(spark)).filter("kind = 'reach'").select("raster_id", "reach_id", "seq", "y", "x")
 
 
-@query("junctions")
+@query("junctions", _REACHES + "SELECT 'val' AS raster_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM q WHERE junction")
 def junctions(spark, d):
     return network.reaches(_paths(spark)).filter("kind = 'junction'").select("raster_id", "y", "x")
 
@@ -480,19 +509,30 @@ def cross_section_values(spark, d):
     return _out(_sections(spark)[1], "raster_id", "reach_id", "station", "t", "valid", elevation="elevation", slope="slope")
 
 
-@query("bank_points")
+# The middle of the first run of the greatest slopes on each side; the first place where all are equal.
+_BANKS = _SAMPLES + f""", p AS (SELECT reach_id, station, t, CAST(round(y + u * cs) AS INT) AS y, CAST(round(CASE WHEN sn < 0 THEN x + u * sn ELSE x - u * sn END) AS INT) AS x FROM q), v AS MATERIALIZED ({_slope(_form('y'))}),
+    e AS MATERIALIZED (SELECT reach_id, station, t, p.y, p.x, v.z IS NOT NULL AS valid, coalesce(v.z, 0) AS elevation, coalesce(v.slope, 0) AS slope FROM p LEFT JOIN v USING (y, x)),
+    side AS (SELECT *, CASE WHEN t < 0 THEN 'left' WHEN t >= 2 THEN 'right' END AS side, bool_or(valid) OVER (PARTITION BY reach_id, station) AS known FROM e),
+    best AS (SELECT *, max(slope) OVER (PARTITION BY reach_id, station, side) AS most, min(slope) OVER (PARTITION BY reach_id, station, side) AS least, t - CASE side WHEN 'left' THEN -20 ELSE 2 END AS pos FROM side WHERE side IS NOT NULL AND known),
+    run AS (SELECT *, pos - row_number() OVER (PARTITION BY reach_id, station, side ORDER BY pos) AS r FROM best WHERE slope = most),
+    place AS (SELECT reach_id, station, side, CASE WHEN any_value(most) = any_value(least) THEN min(pos) ELSE (min(pos) + max(pos)) // 2 END AS pos, row_number() OVER (PARTITION BY reach_id, station, side ORDER BY min(pos)) AS k FROM run GROUP BY reach_id, station, side, r),
+    bank AS MATERIALIZED (SELECT reach_id, station, place.side, e.t, e.y, e.x, e.elevation, min(e.elevation) OVER (PARTITION BY reach_id, station) AS water_level FROM place JOIN e USING (reach_id, station) WHERE k = 1 AND e.t = place.pos + CASE place.side WHEN 'left' THEN -20 ELSE 2 END) """
+
+
+@query("bank_points", _BANKS + "SELECT 'y' AS raster_id, reach_id, station, side, t, y, x, round(elevation, 6) + 0.0 AS elevation, round(water_level, 6) + 0.0 AS water_level FROM bank")
 def bank_points(spark, d):
-    return network.bank_points(_sections(spark)[1])
+    return _out(network.bank_points(_sections(spark)[1]), "raster_id", "reach_id", "station", "side", "t", "y", "x", elevation="elevation", water_level="water_level")
 
 
-@query("section_map")
+@query("section_map", _BANKS + """, m AS (SELECT y, x, max(m) AS m FROM (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, 1 AS m FROM r UNION ALL SELECT y, x, 2 FROM e WHERE valid UNION ALL SELECT y, x, 3 FROM bank) GROUP BY y, x)
+    SELECT 'y' AS raster_id, v.y, v.x, CAST(coalesce(m.m, CASE WHEN v.z IS NULL THEN 0 ELSE 999 END) AS INT) AS code FROM v LEFT JOIN m USING (y, x)""")
 def section_map(spark, d):
     cells, s = _sections(spark)
     s = stored(s, "sections")
     return network.section_map(cells, _reach(spark), s, network.bank_points(s))
 
 
-@query("local_extrema")
+@query("local_extrema", "SELECT vec_id, CAST(list_max(embedding) AS DOUBLE) AS top, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS top_at, CAST(list_min(embedding) AS DOUBLE) AS low, CAST(list_position(embedding, list_min(embedding)) - 1 AS INT) AS low_at FROM embeddings")
 def local_extrema_query(spark, d):
     @F.pandas_udf("struct<top:double,top_at:int,low:double,low_at:int>")
     def ends(v: pd.Series) -> pd.DataFrame:
@@ -503,9 +543,9 @@ def local_extrema_query(spark, d):
     return e.select("vec_id", ends(F.col("embedding").cast("array<double>")).alias("e")).select("vec_id", "e.*")
 
 
-@query("export_points_wkt", f"SELECT 'y' AS raster_id, 'ChannelHead' AS type, {GT[0]} + x AS x_proj, {GT[3]} - y AS y_proj, printf('POINT(%f %f)', {GT[0]} + x, {GT[3]} - y) AS geometry FROM ({_form('y')}) WHERE (y * 7 + x) % 97 = 0")
+@query("export_points_wkt", ORACLE_SQL["channel_heads"].replace("SELECT 'li' AS raster_id, CAST(a.label AS INT) AS label, a.y, a.x, a.geo FROM c a", f"SELECT 'li' AS raster_id, 'ChannelHead' AS type, {GT[0]} + a.x AS x_proj, {GT[3]} - a.y AS y_proj, printf('POINT(%f %f)', {GT[0]} + a.x, {GT[3]} - a.y) AS geometry FROM c a"))
 def export_points_wkt(spark, d):
-    return tables.point_features(rasters.formed(spark, "y").filter("(y * 7 + x) % 97 = 0"), "ChannelHead", GT)
+    return tables.point_features(network.channel_heads(_skeleton(spark, d)), "ChannelHead", GT)
 
 
 @query("export_lines_wkt", _SAMPLES + f"SELECT 'y' AS raster_id, reach_id, 'ChannelNetwork' AS type, 'LINESTRING(' || string_agg(printf('%f %f', {GT[0]} + x, {GT[3]} - y), ', ' ORDER BY seq) || ')' AS geometry FROM r GROUP BY reach_id")
@@ -513,12 +553,14 @@ def export_lines_wkt(spark, d):
     return tables.line_features(_reach(spark), ["raster_id", "reach_id"], "seq", "ChannelNetwork", GT)
 
 
-@query("export_sections_wkt")
+@query("export_sections_wkt", _BANKS + f""", o AS (SELECT reach_id, station, min(t) AS a, max(t) AS b FROM e WHERE valid GROUP BY reach_id, station)
+    SELECT 'y' AS raster_id, o.reach_id, o.station, 'CrossSection' AS type, 'LINESTRING(' || printf('%f %f', {GT[0]} + p.x, {GT[3]} - p.y) || ', ' || printf('%f %f', {GT[0]} + q.x, {GT[3]} - q.y) || ')' AS geometry,
+    CAST(row_number() OVER (ORDER BY o.reach_id, o.station) AS INT) AS id FROM o JOIN e p ON p.reach_id = o.reach_id AND p.station = o.station AND p.t = o.a JOIN e q ON q.reach_id = o.reach_id AND q.station = o.station AND q.t = o.b""")
 def export_sections_wkt(spark, d):
     return tables.section_features(_sections(spark)[1], GT)
 
 
-@query("export_banks_wkt")
+@query("export_banks_wkt", _BANKS + f"SELECT 'y' AS raster_id, reach_id, side, 'Bank' AS type, 'LINESTRING(' || string_agg(printf('%f %f', {GT[0]} + x, {GT[3]} - y), ', ' ORDER BY station) || ')' AS geometry FROM bank GROUP BY reach_id, side")
 def export_banks_wkt(spark, d):
     return tables.bank_features(network.bank_points(_sections(spark)[1]), GT)
 
@@ -545,7 +587,17 @@ def network_heads(spark, d):
     return network_of(spark, d).heads.select("raster_id", "label", "y", "x", "geo")
 
 
-@query("network_layers")
+_FILTERED = (f"WITH RECURSIVE r0 AS MATERIALIZED ({_form('y')}), ka AS MATERIALIZED (" + ORACLE_SQL["edge_threshold_mquantile"].replace(EMB, "SELECT * FROM r0").replace("round(sum(", "(sum(").replace(", 6) + 0.0 AS kappa", ") AS kappa")
+             + "), r1 AS MATERIALIZED (SELECT r0.raster_id, y, x, z / kappa AS z, ny, nx FROM r0, ka), f0 AS MATERIALIZED (SELECT d.raster_id, y, x, z * kappa AS z, ny, nx FROM ("
+             + _diffused("SELECT * FROM r1", "1.0::DOUBLE", 2, 30) + ") d, ka), ")
+
+
+@query("network_layers", _FILTERED + _accumulated("SELECT * FROM f0").removeprefix("WITH RECURSIVE ") + f""", cv AS MATERIALIZED ({_curv("SELECT * FROM f0")}), sl AS ({_slope("SELECT * FROM f0")}),
+    m AS (SELECT avg(curv) + stddev_pop(curv) AS t, min(curv) AS lo, max(curv) AS hi FROM cv),
+    l AS (SELECT a.raster_id, a.y, a.x, a.z, sl.slope, cv.curv, a.fac::DOUBLE AS flow, a.fdr, a.basin, CASE WHEN a.fac > 50 THEN 1 ELSE 0 END AS flow_skel, CASE WHEN cv.curv > m.t THEN 1 ELSE 0 END AS curv_skel,
+      coalesce((cv.curv - m.lo) / nullif(m.hi - m.lo, 0), 0) AS share, avg(a.fac) OVER () AS flow_mean FROM a JOIN cv USING (y, x) JOIN sl USING (y, x), m)
+    SELECT raster_id, y, x, round(z, 6) + 0.0 AS z, round(slope, 6) + 0.0 AS slope, round(curv, 6) + 0.0 AS curvature, round(flow, 6) + 0.0 AS flow, round(flow + flow_mean * (flow_skel * curv_skel) + flow_mean * share, 6) + 0.0 AS cost,
+    CAST(fdr AS INT) AS fdr, basin, flow_skel, curv_skel, flow_skel * curv_skel AS skel FROM l""")
 def network_layers(spark, d):
     """Every layer of the extraction of one raster, up to the cost."""
     x, _ = pipeline.layers(rasters.formed(spark, "y"))
