@@ -1,20 +1,25 @@
-"""Interpolated modified Kneser-Ney language model of word bigrams, counted in Spark.
+"""Interpolated modified Kneser-Ney language model of word trigrams (or bigrams), counted in Spark.
 
 The model lives in the shared folder as sorted arrays that scoring workers map into memory:
 
 * ``vocab``: sorted 64-bit hashes of the training words with their counts; a word's id is its place in this order.
-* ``pairs``: sorted keys (id of the word before << 32 | id of the word) with their counts, in shards by context.
-  Contexts with many tokens have several shards of their own, by the following word.
-* ``contexts``: for each context its total and how many words follow it once, twice, more often.
+* ``triples``: sorted 64-bit hashes of three ids with their counts (a byte each; of counts from 255 on the rest is in a table of its own), in
+  shards by the middle word. ``histories``: for each pair of ids that begins more than one triple its total and how many words follow it
+  once, twice, more often; a pair that is known and not among these begins one.
+* ``pairs``: sorted keys (id of the word before << 32 | id of the word) with their counts, in shards by context; with triples
+  above them the number of different words before the pair, and after the start mark the count itself.
+  Contexts with many tokens have several shards of their own, of pairs by the following word, of triples by the first.
+* ``contexts``: for each context of pairs the same as for histories.
 * ``fresh``: for each word the number of different words before it.
 
-Map tasks sort and count what they read and send each shard one compact blob; what is sent grows with the text. The
+Map tasks sort and count what they read and send each shard one compact blob; what is sent grows with the text. Pairs are counted from
+the triples of their shard, without another pass. The
 driver holds only counts of counts, shard sizes and the contexts that hold over 1/256 of all tokens.
-P(w | u) = max(c(uw) - D(c), 0) / c(u) + g(u) P(w), and P(w) is the same over ``fresh`` with the uniform 1 / (V + 1) below it
-(Chen and Goodman, 1998). A text begins after a start mark and ends in an end token.
+P(w | tu) = max(c(tuw) - D(c), 0) / c(tu) + g(tu) P(w | u), likewise P(w | u) over the pairs, and P(w) is the same over ``fresh`` with the uniform 1 / (V + 1)
+below it (Chen and Goodman, 1998). A text begins after two start marks and ends in an end token.
 
 Defined cases: null text is empty text, the end token alone; unknown words have the uniform part of P(w); after
-an unknown word P(w) is used; with no training text every token has probability 1; repeated rows count each time.
+unknown words the shorter history is used; with no training text every token has probability 1; repeated rows count each time.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import shutil
 import tempfile
 import uuid
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,8 @@ END = b""  # hashed as the end token; no word is empty
 START = (1 << 32) - 1
 SHARDS = 64
 TOKENS_A_SHARD = 2_000_000
-CHUNK = 8_000_000  # tokens a map task sorts at a time
+CHUNK = 4_000_000  # tokens a map task sorts at a time
+ORDER = 3
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -59,30 +65,50 @@ def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), size
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys and their counts as one blob: differences, byte by byte, compressed."""
+def pack(keys: np.ndarray, counts: np.ndarray, thirds: np.ndarray | None = None) -> bytes:
+    """Sorted keys and their counts, and third ids where there are any, as one blob: differences, byte by byte, compressed."""
     gaps = np.diff(keys, prepend=np.zeros(1, keys.dtype))
-    planes = gaps.view(np.uint8).reshape(-1, keys.dtype.itemsize).T.tobytes()
-    return zlib.compress(planes + counts.astype("<u4").tobytes(), 1)
+    parts = [gaps, counts.astype("<u4")] + ([] if thirds is None else [thirds.astype("<u4")])
+    return zlib.compress(b"".join(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes() for x in parts), 1)
 
 
-def unpack(blob: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+def unpack(blob: bytes, kind: type, triples: bool = False) -> tuple[np.ndarray, ...]:
     raw = zlib.decompress(blob)
     width = np.dtype(kind).itemsize
-    n = len(raw) // (width + 4)
-    gaps = np.frombuffer(raw, np.uint8, n * width).reshape(width, n).T.copy().view(kind).ravel()
-    return np.cumsum(gaps, dtype=kind), np.frombuffer(raw, "<u4", n, n * width).astype(np.int64)
+    n = len(raw) // (width + 4 + 4 * triples)
 
+    def plane(kind: type, at: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(raw, np.uint8, n * size, at * n).reshape(size, n).T.copy().view(kind).ravel()
 
-def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts added up by key."""
+    keys, counts = np.cumsum(plane(kind, 0), dtype=kind), plane(np.uint32, width).astype(np.int64)
+    return (keys, plane(np.uint32, width + 4), counts) if triples else (keys, counts)
+
+
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Counts, which come last, added up by all keys before them."""
     if len(parts) == 1:
         return parts[0]
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return grouped(*map(np.concatenate, zip(*parts)))
+
+
+def grouped(*arrays: np.ndarray) -> tuple[np.ndarray, ...]:
+    *keys, counts = arrays
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    keys, counts = [k[order] for k in keys], counts[order]
+    if not len(counts):
+        return (*keys, counts)
+    new = reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(np.concatenate([[True], new]))
+    return (*[k[first] for k in keys], np.add.reduceat(counts, first))
+
+
+def mixed(pair: np.ndarray, third: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of a pair of ids, or of a triple."""
+    x = pair if third is None else pair * np.uint64(0x9E3779B97F4A7C15) + third.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
 
 
 class Folder:
@@ -170,6 +196,16 @@ class Route:
             shard = np.where(is_hot, first + np.minimum(after * n // self.size, n - 1), shard)
         return shard
 
+    def triple(self, pair: np.ndarray) -> np.ndarray:
+        """The shard of all triples that begin with a pair: by its second id, or for a hot one of its own by the first."""
+        before = (pair & np.uint64(START)).astype(np.int64)
+        shard = self.word(np.where(before == START, 0, before))
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, before), len(self.hot) - 1)
+            first, n = self.own[at, 0], self.own[at, 1]
+            shard = np.where(self.hot[at] == before, first + (mixed(pair) % n.astype(np.uint64)).astype(np.int64), shard)
+        return shard
+
 
 def _pairs(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
     before = np.concatenate([[START], ids[:-1]])
@@ -177,12 +213,13 @@ def _pairs(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
     return before
 
 
-def _blobs(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+def _blobs(shard: np.ndarray, keys: np.ndarray, *rest: np.ndarray):
     order = np.argsort(shard, kind="stable")  # keys stay sorted within a shard
-    shard, keys, counts = shard[order], keys[order], counts[order]
+    shard, keys, rest = shard[order], keys[order], [x[order] for x in rest]
     cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else []
     for a, b in zip(cut[:-1], cut[1:]):
-        yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([pack(keys[a:b], counts[a:b])], pa.binary())], ["shard", "blob"])
+        blob = pack(keys[a:b], rest[-1][a:b], *(x[a:b] for x in rest[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
 
 
 class Model:
@@ -205,10 +242,11 @@ def discounts(n: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(min(max(x, 0.05), k)) for k, x in zip((1, 2, 3), d))
 
 
-def train(docs: DataFrame, shards: int = SHARDS) -> Model:
-    """Count all rows of ``docs`` (column text) and write the model."""
+def train(docs: DataFrame, shards: int = SHARDS, order: int = ORDER) -> Model:
+    """Count all rows of ``docs`` (column text) and write the model of ``order`` 2 or 3."""
     spark, texts = docs.sparkSession, docs.select(F.col("text").cast("string").alias("text"))
     uri, bits = scratch(spark, "lm"), 6
+    with_triples = order == 3
 
     def count_words(batches):
         held, n = [], 0
@@ -225,7 +263,7 @@ def train(docs: DataFrame, shards: int = SHARDS) -> Model:
             keys, counts = summed(held)
             yield from _blobs((keys >> np.uint64(64 - bits)).astype(np.int64), keys, counts)
 
-    def gather(batches, kind, finish):
+    def gather(batches, kind, finish, triples=False):
         """Blobs of each shard come together, one shard after the other."""
         held, shard = [], None
         for b in batches:
@@ -234,7 +272,7 @@ def train(docs: DataFrame, shards: int = SHARDS) -> Model:
                     yield from finish(shard, *summed(held))
                     held = []
                 shard = s
-                held.append(unpack(blob, kind))
+                held.append(unpack(blob, kind, triples))
                 if len(held) > 16:
                     held = [summed(held)]
         if held:
@@ -280,20 +318,25 @@ def train(docs: DataFrame, shards: int = SHARDS) -> Model:
         free += own
     route = Route(size, n_shards, hot)
 
-    def count_pairs(batches):
+    def count(batches):
         vocabulary = Vocabulary(folder(uri), bits, starts)
         held, n = [], 0
 
         def flush():
-            keys, counts = summed(held)
-            yield from _blobs(route.pair(keys), keys, counts)
+            keys = grouped(*map(np.concatenate, zip(*held)))
+            yield from _blobs((route.triple if with_triples else route.pair)(keys[0]), *keys)
 
         for whole in batches:
             for k in range(0, len(whole), 512):
                 h, each = hashes(whole.slice(k, 512).column("text").to_pylist())
                 ids, _ = vocabulary.find(h)
-                keys = _pairs(ids, each).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
-                held.append(np.unique(keys, return_counts=True))
+                before, w = _pairs(ids, each).astype(np.uint64), ids.astype(np.uint64)
+                one = np.ones(len(w), np.int64)
+                if with_triples:
+                    second = _pairs(before.astype(np.int64), each).astype(np.uint64)
+                    held.append((second << np.uint64(32) | before, w.astype(np.uint32), one))
+                else:
+                    held.append((before << np.uint64(32) | w, one))
                 n += len(ids)
                 if n >= CHUNK:
                     yield from flush()
@@ -301,30 +344,61 @@ def train(docs: DataFrame, shards: int = SHARDS) -> Model:
         if held:
             yield from flush()
 
-    def write_pairs(batches):
-        at = folder(uri)
+    def follows(first, counts):
+        """Of each group of counts its sum and how many are one, two, more."""
+        return [np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
 
-        def finish(s, keys, counts):
-            at.put(f"pairs-{s}", keys)
-            at.put(f"pairs-n-{s}", counts.astype("<u4"))
-            before, after = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(START)).astype(np.uint32)
-            first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-            follow = [np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
-            at.put(f"contexts-{s}", before[first].astype("<u4"))
-            at.put(f"contexts-n-{s}", np.stack(follow, axis=1).astype("<u8"))
-            fresh, n_fresh = np.unique(after, return_counts=True)
-            of = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
-            # The sums of a hot context's shards meet on the driver.
-            sums = [int(x[0]) for x in follow] if s >= n_shards else [0, 0, 0, 0]
-            row = [s, -1, b"", of.tolist(), sums]
-            yield _row(row)
-            for w, blob in _split(route.word(fresh.astype(np.int64)), fresh, n_fresh):
-                yield _row([s, w, blob, [], []])
+    def counts_of(counts):
+        return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
-        yield from gather(batches, np.uint64, finish)
+    def finish_pairs(s, keys, counts):
+        at = folder(uri)
+        at.put(f"pairs-{s}", keys)
+        at.put(f"pairs-n-{s}", counts.astype("<u4"))
+        before, after = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(START)).astype(np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        follow = follows(first, counts)
+        at.put(f"contexts-{s}", before[first].astype("<u4"))
+        at.put(f"contexts-n-{s}", np.stack(follow, axis=1).astype("<u8"))
+        # The sums of a hot context's shards meet on the driver.
+        sums = [int(x[0]) for x in follow] if s >= n_shards else [0, 0, 0, 0]
+        yield _row([s, -1, b"", counts_of(counts), sums])
+        fresh, n_fresh = np.unique(after, return_counts=True)
+        for w, blob in _split(route.word(fresh.astype(np.int64)), fresh, n_fresh):
+            yield _row([s, w, blob, [], []])
+
+    def finish_triples(s, pair, third, counts):
+        at = folder(uri)
+        h = mixed(pair, third)
+        order = np.argsort(h)
+        at.put(f"triples-{s}", h[order])
+        at.put(f"triples-n-{s}", np.minimum(counts[order], 255).astype("u1"))
+        many = order[counts[order] >= 255]
+        at.put(f"many-{s}", h[many])
+        at.put(f"many-n-{s}", counts[many].astype("<u8"))
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        follow = np.stack(follows(first, counts), axis=1)
+        kept = follow[:, 0] > 1
+        at.put(f"histories-{s}", pair[first][kept])
+        at.put(f"histories-n-{s}", follow[kept].astype("<u4"))
+        yield _row([s, -2, b"", counts_of(counts), [0, 0, 0, 0]])
+        second = pair & np.uint64(START)
+        keys, n = grouped(second << np.uint64(32) | third, np.where(second == START, counts, 1))
+        if s < n_shards:  # all triples of these middle words are here
+            yield from finish_pairs(s, keys, n)
+        else:
+            for w, blob in _split(route.pair(keys), keys, n):
+                yield _row([w, -3, blob, [], []])
 
     schema = "shard int, word_shard int, blob binary, of array<long>, sums array<long>"
-    pairs = stored(dealt(texts.mapInArrow(count_pairs, "shard int, blob binary"), route.all).mapInArrow(write_pairs, schema), "lm-fresh")
+    sent = dealt(texts.mapInArrow(count, "shard int, blob binary"), route.all)
+    pairs = stored(sent.mapInArrow(lambda b: gather(b, np.uint64, finish_triples if with_triples else finish_pairs, with_triples), schema), "lm-fresh")
+    of_triples, triple_shards = np.zeros(4, np.int64), []
+    if with_triples:
+        got = pairs.filter("word_shard = -2").select("shard", "of").collect()  # one row a shard
+        triple_shards, of_triples = sorted(r["shard"] for r in got), np.array([r["of"] for r in got]).reshape(-1, 4).sum(axis=0)
+        late = dealt(pairs.filter("word_shard = -3").select("shard", "blob"), route.all).mapInArrow(lambda b: gather(b, np.uint64, finish_pairs), schema)
+        pairs = pairs.filter("word_shard >= -1").union(stored(late, "lm-fresh"))
     totals = pairs.filter("word_shard = -1").select("shard", "of", "sums").collect()  # one row a shard
     of_pairs = np.array([r["of"] for r in totals]).reshape(-1, 4).sum(axis=0)
     hot_sums = {}
@@ -352,7 +426,8 @@ def train(docs: DataFrame, shards: int = SHARDS) -> Model:
     of_fresh = np.array([r["of"] for r in fresh]).reshape(-1, 4).sum(axis=0)
     kinds = np.array([r["kinds"] for r in fresh]).reshape(-1, 3).sum(axis=0)
     return Model(uri=uri, bits=bits, starts=starts, size=size, tokens=tokens, hot=hot, hot_sums=hot_sums, shards=n_shards, edges=edges,
-                 d_pairs=discounts(of_pairs), d_fresh=discounts(of_fresh), all_fresh=sum(r["all"] for r in fresh), kinds=kinds.tolist())
+                 order=order, triple_shards=frozenset(triple_shards), pair_shards=frozenset(r["shard"] for r in totals),
+                 d_triples=discounts(of_triples), d_pairs=discounts(of_pairs), d_fresh=discounts(of_fresh), all_fresh=sum(r["all"] for r in fresh), kinds=kinds.tolist())
 
 
 def _row(row: list) -> pa.RecordBatch:
@@ -408,7 +483,7 @@ class Scorer:
         for a, b in zip(cut[:-1], cut[1:]):
             own = order[a:b]
             s = int(shard[own[0]])
-            if not self._has(s):
+            if s not in m.pair_shards:
                 continue
             known, n = self.at.map(f"pairs-{s}", "<u8"), self.at.map(f"pairs-n-{s}", "<u4")
             at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
@@ -425,15 +500,55 @@ class Scorer:
         first = np.maximum(c - self._discount(c, m.d_pairs), 0) / total
         weight = np.where(seen, follow[:, 1:] @ np.array(m.d_pairs) / total, 1.0)
         p[valid] = first[inverse] + weight[inverse] * p[valid]
+        if m.order == 3:
+            known = np.zeros(len(ids), np.int64)
+            known[valid] = c[inverse]
+            p = self._third(ids, size, before, known, p)
         logs = np.log10(np.maximum(p, 1e-300))
         return size, np.add.reduceat((counts > 0).astype(np.int64), ends), np.add.reduceat(base, ends), np.add.reduceat(logs, ends)
 
-    @lru_cache(maxsize=None)  # noqa: B019
-    def _has(self, s: int) -> bool:
-        try:
-            return len(self.at.map(f"pairs-{s}", "<u8")) > 0
-        except (FileNotFoundError, OSError):
-            return False
+    def _third(self, ids: np.ndarray, size: np.ndarray, before: np.ndarray, pairs: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """P of each token after two, from p after one. pairs: the count of each token's pair."""
+        m = self.m
+        second = _pairs(before, size)
+        # A known pair begins a triple; so does the pair of start marks.
+        seen = np.concatenate([[1], pairs[:-1]]) > 0
+        seen[np.cumsum(size)[:-1]] = True
+        at = np.flatnonzero((before >= 0) & (second >= 0) & seen)
+        pair = second[at].astype(np.uint64) << np.uint64(32) | before[at].astype(np.uint64)
+        h = mixed(pair, np.where(ids[at] >= 0, ids[at], START))
+        h, which, inverse = np.unique(h, return_index=True, return_inverse=True)
+        pair = pair[which]
+        c, follow = np.zeros(len(h), np.int64), np.tile(np.array([1, 1, 0, 0], np.int64), (len(h), 1))
+        shard = self.route.triple(pair)
+        order = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]])) if len(h) else []
+        for a, b in zip(cut[:-1], cut[1:]):
+            own = order[a:b]
+            s = int(shard[own[0]])
+            if s not in m.triple_shards:
+                continue
+            hit, where = _found(self.at.map(f"triples-{s}", "<u8"), h[own])
+            c[own[hit]] = self.at.map(f"triples-n-{s}", "u1")[where]
+            hit, where = _found(self.at.map(f"many-{s}", "<u8"), h[own])
+            c[own[hit]] = self.at.map(f"many-n-{s}", "<u8")[where]
+            hit, where = _found(self.at.map(f"histories-{s}", "<u8"), pair[own])
+            follow[own[hit]] = self.at.map(f"histories-n-{s}", "<u4").reshape(-1, 4)[where]
+        total = follow[:, 0]
+        first = np.maximum(c - self._discount(c, m.d_triples), 0) / total
+        weight = follow[:, 1:] @ np.array(m.d_triples) / total
+        p = p.copy()
+        p[at] = first[inverse] + weight[inverse] * p[at]
+        return p
+
+
+def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the known ones, and where those are."""
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = known[at] == keys
+    return hit, at[hit]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -450,9 +565,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, held: Column | None = None, order: int = ORDER) -> DataFrame:
     """Train on the rows that are not held out and score all rows."""
     held = held_out(5, 1) if held is None else held
-    model = train(docs.filter(~held))
+    model = train(docs.filter(~held), order=order)
     return score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
                                      (F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).alias("perplexity"))

@@ -23,37 +23,53 @@ def words(t):
 
 # 1 --------------------------------------------------------------------------------------------------------------------
 
-def plain_model(train):
+def plain_model(train, order):
     toks = [words(t) + [b""] for t in train]
     uni = Counter(w for d in toks for w in d)
-    two = Counter(p for d in toks for p in zip([None, *d], d))
-    follow, fresh = defaultdict(lambda: [0, 0, 0, 0]), Counter()
+    three = Counter(p for d in toks for p in zip([None, None, *d], [None, *d], d))
+    if order == 2:
+        two = Counter(p for d in toks for p in zip([None, *d], d))
+    else:
+        two = Counter()
+        for (_, v, w), c in three.items():
+            two[v, w] += c if v is None else 1
+    follow, begins, fresh = defaultdict(lambda: [0, 0, 0, 0]), defaultdict(lambda: [0, 0, 0, 0]), Counter()
     for (u, w), c in two.items():
         follow[u][0] += c
         follow[u][min(c, 3)] += 1
         fresh[w] += 1
-    d2, d1 = ([0, *lm.discounts(np.array([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)]))] for x in (two, fresh))
+    for (t, u, _), c in three.items():
+        begins[t, u][0] += c
+        begins[t, u][min(c, 3)] += 1
+    d3, d2, d1 = ([0, *lm.discounts(np.array([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)]))] for x in (three, two, fresh))
     every, size, n = sum(fresh.values()), len(uni), sum(uni.values())
     low = sum(d1[min(v, 3)] for v in fresh.values()) / every / (size + 1)
 
     def one(w):
         return max(fresh[w] - d1[min(fresh[w], 3)], 0) / every + low
 
-    def p(u, w):
-        if u not in follow:
-            return one(w)
-        x = follow[u]
-        return (max(two[u, w] - d2[min(two[u, w], 3)], 0) + sum(a * b for a, b in zip(d2[1:], x[1:])) * one(w)) / x[0]
+    def over(x, c, d, below):
+        return (max(c - d[min(c, 3)], 0) + sum(a * b for a, b in zip(d[1:], x[1:])) * below) / x[0]
+
+    def p(t, u, w):
+        best = one(w)
+        if u in follow:
+            best = over(follow[u], two[u, w], d2, best)
+        if order == 3 and (t, u) in begins:
+            best = over(begins[t, u], three[t, u, w], d3, best)
+        return best
 
     return uni, n, size, p
 
 
-def test_lm(spark, docs, rows, none):
-    held = langid.held_out(5, 1)
-    got = lm.score_documents(docs).collect()
-    uni, n, size, p = plain_model([t for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1])
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm(spark, docs, rows, none, order):
+    got = lm.score_documents(docs, order=order).collect()
+    uni, n, size, p = plain_model([t for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1], order)
     by_id = {i: t for i, t, *_ in rows}
-    assert len(got) == len(rows) and abs(sum(p(b"the", w) for w in uni) + p(b"the", b"unseen") - 1) < 1e-9
+    assert len(got) == len(rows)
+    for t, u in ((b"of", b"the"), (None, None), (b"unseen", b"the")):
+        assert abs(sum(p(t, u, w) for w in uni) + p(t, u, b"unseen") - 1) < 1e-9
     for r in got:
         if r["doc_id"] is None:
             assert not r["held_out"]
@@ -62,10 +78,9 @@ def test_lm(spark, docs, rows, none):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(d), sum(w in uni for w in d), n)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
         assert r["base_score"] == pytest.approx(sum(log10((uni[w] + 0.5) / (n + 0.5 * (size + 1))) for w in d))
-        assert r["score"] == pytest.approx(sum(log10(p(u, w)) for u, w in zip([None, *d], d)))
-    assert lm.score_documents(none).collect() == []
-    assert all(r["score"] == 0 for r in lm.score_documents(docs, F.lit(True)).collect())
-    assert held is not None
+        assert r["score"] == pytest.approx(sum(log10(p(t, u, w)) for t, u, w in zip([None, None, *d], [None, *d], d)))
+    assert lm.score_documents(none, order=order).collect() == []
+    assert all(r["score"] == 0 for r in lm.score_documents(docs, F.lit(True), order).collect())
 
 
 @settings(max_examples=50, deadline=None)
@@ -75,6 +90,8 @@ def test_blobs(pairs):
     counts = np.arange(1, len(keys) + 1)
     k, c = lm.unpack(lm.pack(keys, counts), np.uint64)
     assert (k == keys).all() and (c == counts).all()
+    k, t, c = lm.unpack(lm.pack(keys, counts, counts + 7), np.uint64, True)
+    assert (k == keys).all() and (c == counts).all() and (t == counts + 7).all()
 
 
 # 2 --------------------------------------------------------------------------------------------------------------------
