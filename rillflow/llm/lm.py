@@ -33,6 +33,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,16 +86,27 @@ def unpack(blob: bytes, kind: type, triples: bool = False) -> tuple[np.ndarray,
     return (keys, plane(np.uint32, width + 4), counts) if triples else (keys, counts)
 
 
-def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+RADIX = 1 << 21  # three ids below it fit one 64-bit key, which sorts faster than two
+
+
+def summed(parts: list[tuple[np.ndarray, ...]], size: int = 0) -> tuple[np.ndarray, ...]:
     """Counts, which come last, added up by all keys before them."""
     if len(parts) == 1:
         return parts[0]
-    return grouped(*map(np.concatenate, zip(*parts)))
+    return grouped(*map(np.concatenate, zip(*parts)), size=size)
+
 
+def joined(pair: np.ndarray, third: np.ndarray, size: int) -> np.ndarray:
+    """One key of three ids below ``size``, or START, in their order."""
+    n, last = np.uint64(size + 1), np.uint64(size)
+    return (np.minimum(pair >> np.uint64(32), last) * n + np.minimum(pair & np.uint64(START), last)) * n + third.astype(np.uint64)
 
-def grouped(*arrays: np.ndarray) -> tuple[np.ndarray, ...]:
+
+def grouped(*arrays: np.ndarray, size: int = 0) -> tuple[np.ndarray, ...]:
     *keys, counts = arrays
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    one = len(keys) == 1 or 0 < size < RADIX - 1
+    sorting = keys[0] if len(keys) == 1 else joined(*keys, size) if one else None
+    order = np.argsort(sorting) if one else np.lexsort(keys[::-1])
     keys, counts = [k[order] for k in keys], counts[order]
     if not len(counts):
         return (*keys, counts)
@@ -103,6 +115,17 @@ def grouped(*arrays: np.ndarray) -> tuple[np.ndarray, ...]:
     return (*[k[first] for k in keys], np.add.reduceat(counts, first))
 
 
+def counted(pair: np.ndarray, third: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Distinct triples in order, and how often each occurs."""
+    if size >= RADIX - 1:
+        return grouped(pair, third, np.ones(len(third), np.int64))
+    keys, counts = np.unique(joined(pair, third, size), return_counts=True)
+    n, last = np.uint64(size + 1), np.uint64(size)
+    keys, third = np.divmod(keys, n)
+    first, second = (np.where(x == last, np.uint64(START), x) for x in np.divmod(keys, n))
+    return first << np.uint64(32) | second, third.astype(np.uint32), counts
+
+
 def mixed(pair: np.ndarray, third: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of a pair of ids, or of a triple."""
     x = pair if third is None else pair * np.uint64(0x9E3779B97F4A7C15) + third.astype(np.uint64)
@@ -119,6 +142,17 @@ class Folder:
         if self.path:
             os.makedirs(self.path, exist_ok=True)
 
+    def put_counts(self, name: str, array: np.ndarray) -> None:
+        """Counts in the least unsigned type that holds them all."""
+        most = int(array.max(initial=0))
+        self.put(name, array.astype(next(k for k in ("u1", "<u2", "<u4", "<u8") if most <= np.iinfo(k).max)))
+
+    @lru_cache(maxsize=None)  # noqa: B019
+    def counts(self, name: str, n: int) -> np.ndarray:
+        """What ``put_counts`` wrote of n numbers."""
+        raw = self.map(name, "u1")
+        return raw.view(f"<u{len(raw) // n}") if n else raw
+
     def put(self, name: str, array: np.ndarray) -> None:
         if self.path:  # whole or not at all, so that a task may run twice
             part = f"{self.path}/.{name}.{uuid.uuid4().hex}"
@@ -143,7 +177,7 @@ class Folder:
                 with store.open_input_stream(f"{at}/{name}") as f, open(f"{path}.{os.getpid()}", "wb") as g:
                     shutil.copyfileobj(f, g)
                 os.replace(f"{path}.{os.getpid()}", path)
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        return np.memmap(path, kind, "r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, kind)
 
 
 @lru_cache(maxsize=1)
@@ -170,7 +204,7 @@ class Vocabulary:
             at = np.minimum(np.searchsorted(keys, unique[part]), len(keys) - 1)
             hit = keys[at] == unique[part]
             ids[part] = np.where(hit, at + self.starts[s], -1)
-            counts[part] = np.where(hit, self.at.map(f"vocab-n-{s}", "<u8")[at], 0)
+            counts[part] = np.where(hit, self.at.counts(f"vocab-n-{s}", len(keys))[at], 0)
         return ids[inverse], counts[inverse]
 
 
@@ -251,8 +285,8 @@ def train(docs: DataFrame, shards: int = SHARDS, order: int = ORDER) -> Model:
     def count_words(batches):
         held, n = [], 0
         for whole in batches:
-            for k in range(0, len(whole), 512):
-                h, _ = hashes(whole.slice(k, 512).column("text").to_pylist())
+            for texts in _portions(whole.column("text")):
+                h, _ = hashes(texts)
                 held.append(np.unique(h, return_counts=True))
                 n += len(h)
                 if n >= CHUNK:
@@ -269,14 +303,14 @@ def train(docs: DataFrame, shards: int = SHARDS, order: int = ORDER) -> Model:
         for b in batches:
             for s, blob in zip(b.column("shard").to_pylist(), b.column("blob").to_pylist()):
                 if s != shard and held:
-                    yield from finish(shard, *summed(held))
+                    yield from finish(shard, *summed(held, size if triples else 0))
                     held = []
                 shard = s
                 held.append(unpack(blob, kind, triples))
-                if len(held) > 16:
-                    held = [summed(held)]
+                if len(held) > 64:
+                    held = [summed(held, size if triples else 0)]
         if held:
-            yield from finish(shard, *summed(held))
+            yield from finish(shard, *summed(held, size if triples else 0))
 
     def dealt(blobs: DataFrame, n: int) -> DataFrame:
         return blobs.repartition(n, "shard").sortWithinPartitions("shard")
@@ -286,7 +320,7 @@ def train(docs: DataFrame, shards: int = SHARDS, order: int = ORDER) -> Model:
 
         def finish(s, keys, counts):
             at.put(f"vocab-{s}", keys)
-            at.put(f"vocab-n-{s}", counts.astype("<u8"))
+            at.put_counts(f"vocab-n-{s}", counts)
             big = np.argsort(-counts, kind="stable")[:256]
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()),
                                               pa.array([keys[big].view(np.int64)], pa.list_(pa.int64())), pa.array([big], pa.list_(pa.int64())), pa.array([counts[big]], pa.list_(pa.int64()))],
@@ -323,20 +357,20 @@ def train(docs: DataFrame, shards: int = SHARDS, order: int = ORDER) -> Model:
         held, n = [], 0
 
         def flush():
-            keys = grouped(*map(np.concatenate, zip(*held)))
+            keys = [np.concatenate(x) for x in zip(*held)]
+            keys = counted(*keys, size) if with_triples else np.unique(keys[0], return_counts=True)
             yield from _blobs((route.triple if with_triples else route.pair)(keys[0]), *keys)
 
         for whole in batches:
-            for k in range(0, len(whole), 512):
-                h, each = hashes(whole.slice(k, 512).column("text").to_pylist())
+            for texts in _portions(whole.column("text")):
+                h, each = hashes(texts)
                 ids, _ = vocabulary.find(h)
                 before, w = _pairs(ids, each).astype(np.uint64), ids.astype(np.uint64)
-                one = np.ones(len(w), np.int64)
                 if with_triples:
                     second = _pairs(before.astype(np.int64), each).astype(np.uint64)
-                    held.append((second << np.uint64(32) | before, w.astype(np.uint32), one))
+                    held.append((second << np.uint64(32) | before, w.astype(np.uint32)))
                 else:
-                    held.append((before << np.uint64(32) | w, one))
+                    held.append((before << np.uint64(32) | w,))
                 n += len(ids)
                 if n >= CHUNK:
                     yield from flush()
@@ -354,12 +388,12 @@ def train(docs: DataFrame, shards: int = SHARDS, order: int = ORDER) -> Model:
     def finish_pairs(s, keys, counts):
         at = folder(uri)
         at.put(f"pairs-{s}", keys)
-        at.put(f"pairs-n-{s}", counts.astype("<u4"))
+        at.put_counts(f"pairs-n-{s}", counts)
         before, after = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(START)).astype(np.uint32)
         first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         follow = follows(first, counts)
         at.put(f"contexts-{s}", before[first].astype("<u4"))
-        at.put(f"contexts-n-{s}", np.stack(follow, axis=1).astype("<u8"))
+        at.put_counts(f"contexts-n-{s}", np.stack(follow, axis=1))
         # The sums of a hot context's shards meet on the driver.
         sums = [int(x[0]) for x in follow] if s >= n_shards else [0, 0, 0, 0]
         yield _row([s, -1, b"", counts_of(counts), sums])
@@ -380,7 +414,7 @@ def train(docs: DataFrame, shards: int = SHARDS, order: int = ORDER) -> Model:
         follow = np.stack(follows(first, counts), axis=1)
         kept = follow[:, 0] > 1
         at.put(f"histories-{s}", pair[first][kept])
-        at.put(f"histories-n-{s}", follow[kept].astype("<u4"))
+        at.put_counts(f"histories-n-{s}", follow[kept])
         yield _row([s, -2, b"", counts_of(counts), [0, 0, 0, 0]])
         second = pair & np.uint64(START)
         keys, n = grouped(second << np.uint64(32) | third, np.where(second == START, counts, 1))
@@ -415,7 +449,7 @@ def train(docs: DataFrame, shards: int = SHARDS, order: int = ORDER) -> Model:
         def finish(s, keys, counts):
             dense = np.zeros(edges[s + 1] - edges[s], np.int64)
             dense[keys.astype(np.int64) - edges[s]] = counts
-            at.put(f"fresh-{s}", dense.astype("<u4"))
+            at.put_counts(f"fresh-{s}", dense)
             yield pa.RecordBatch.from_arrays([pa.array([np.bincount(np.minimum(counts, 5), minlength=6)[1:5]], pa.list_(pa.int64())),
                                               pa.array([int(counts.sum())], pa.int64()), pa.array([[int((counts == 1).sum()), int((counts == 2).sum()), int((counts > 2).sum())]], pa.list_(pa.int64()))],
                                              ["of", "all", "kinds"])
@@ -435,6 +469,16 @@ def _row(row: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["shard", "word_shard", "blob", "of", "sums"])
 
 
+def _portions(texts: pa.Array, most: int = 1 << 22):
+    """Lists of texts of about ``most`` bytes, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, upto - at).to_pylist()
+        at = upto
+
+
 def _split(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray):
     cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else []
     for a, b in zip(cut[:-1], cut[1:]):
@@ -457,7 +501,7 @@ class Scorer:
         shard = np.where(ids >= 0, self.route.word(ids), -1)
         for s in np.unique(shard[shard >= 0]):
             own = shard == s
-            k[own] = self.at.map(f"fresh-{s}", "<u4")[ids[own] - m.edges[s]]
+            k[own] = self.at.counts(f"fresh-{s}", m.edges[s + 1] - m.edges[s])[ids[own] - m.edges[s]]
         return np.maximum(k - self._discount(k, m.d_fresh), 0) / m.all_fresh + below
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
@@ -485,12 +529,13 @@ class Scorer:
             s = int(shard[own[0]])
             if s not in m.pair_shards:
                 continue
-            known, n = self.at.map(f"pairs-{s}", "<u8"), self.at.map(f"pairs-n-{s}", "<u4")
+            known = self.at.map(f"pairs-{s}", "<u8")
+            n = self.at.counts(f"pairs-n-{s}", len(known))
             at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
             c[own] = np.where(known[at] == keys[own], n[at], 0)
             if s < m.shards:
                 context = self.at.map(f"contexts-{s}", "<u4")
-                stats = self.at.map(f"contexts-n-{s}", "<u8").reshape(-1, 4)
+                stats = self.at.counts(f"contexts-n-{s}", 4 * len(context)).reshape(-1, 4)
                 at = np.minimum(np.searchsorted(context, u[own]), len(context) - 1)
                 follow[own] = np.where((context[at] == u[own])[:, None], stats[at], 0)
         for k, sums in m.hot_sums.items():
@@ -517,8 +562,9 @@ class Scorer:
         at = np.flatnonzero((before >= 0) & (second >= 0) & seen)
         pair = second[at].astype(np.uint64) << np.uint64(32) | before[at].astype(np.uint64)
         h = mixed(pair, np.where(ids[at] >= 0, ids[at], START))
-        h, which, inverse = np.unique(h, return_index=True, return_inverse=True)
-        pair = pair[which]
+        h, inverse = np.unique(h, return_inverse=True)
+        each, pair = pair, np.zeros(len(h), np.uint64)
+        pair[inverse] = each
         c, follow = np.zeros(len(h), np.int64), np.tile(np.array([1, 1, 0, 0], np.int64), (len(h), 1))
         shard = self.route.triple(pair)
         order = np.argsort(shard, kind="stable")
@@ -532,8 +578,12 @@ class Scorer:
             c[own[hit]] = self.at.map(f"triples-n-{s}", "u1")[where]
             hit, where = _found(self.at.map(f"many-{s}", "<u8"), h[own])
             c[own[hit]] = self.at.map(f"many-n-{s}", "<u8")[where]
-            hit, where = _found(self.at.map(f"histories-{s}", "<u8"), pair[own])
-            follow[own[hit]] = self.at.map(f"histories-n-{s}", "<u4").reshape(-1, 4)[where]
+            histories = self.at.map(f"histories-{s}", "<u8")
+            wanted, place = np.unique(pair[own], return_inverse=True)  # in order, so that neighbours share pages
+            hit, where = _found(histories, wanted)
+            of = np.tile(np.array([1, 1, 0, 0], np.int64), (len(wanted), 1))
+            of[hit] = self.at.counts(f"histories-n-{s}", 4 * len(histories)).reshape(-1, 4)[where]
+            follow[own] = of[place]
         total = follow[:, 0]
         first = np.maximum(c - self._discount(c, m.d_triples), 0) / total
         weight = follow[:, 1:] @ np.array(m.d_triples) / total
@@ -556,10 +606,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         scorer = Scorer(model)
         for whole in batches:
-            for k in range(0, len(whole), 256):
-                b = whole.slice(k, 256)
-                got = scorer.score(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, got)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            at = 0
+            for texts in _portions(whole.column("text")):
+                got = scorer.score(texts)
+                yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(at, len(texts)), *map(pa.array, got)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                at += len(texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
