@@ -9,12 +9,13 @@ from __future__ import annotations
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, stored
 
-__all__ = ["components", "documents", "one_text", "local_path", "scratch", "shared_dir", "skewless_left_join", "stored"]
+__all__ = ["components", "documents", "one_text", "released", "local_path", "scratch", "shared_dir", "skewless_left_join", "stored"]
 
 WHITE = ("\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -36,6 +37,13 @@ def one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return one.select(F.col("__id").alias("doc_id"), F.col("one.text").alias("text"), *[F.col(f"one.__of.{c}").alias(c) for c in names])
 
 
+def released(batches):
+    """The batches; what Arrow holds free of those before is given back, which a worker kept for later tasks would keep."""
+    for b in batches:
+        yield b
+        pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as a URI or path.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, skewless_left_join, stored
+from .common import components, released, skewless_left_join, stored
 from .simhash import SEED, fingerprint_of, search, shingle_hashes
 
 SIMILARITY = (4, 5)  # as a fraction, so that the comparison is exact
@@ -73,7 +73,7 @@ def tree(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def _verified(docs: DataFrame, placed: DataFrame, words: int, cells: int) -> DataFrame:
     """Edges (a, b) of nodes. placed: node, root, least (a doc_id with this set), blocks, block."""
     def spread(batches):
-        for batch in batches:
+        for batch in released(batches):
             for r in batch.to_pylist():
                 own = shingle_set(r["text"], words)
                 if node_of(own) != r["node"]:  # another text with the same doc_id
@@ -107,13 +107,17 @@ def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, group_id of every row with a doc_id that is not alone in its group; group_id: the least doc_id of the group."""
     fps = [f"fp{w}" for w in range(WORDS)]
 
+    def one(text: str | None) -> tuple:
+        hashes = shingle_hashes(text, words)
+        own = np.unique(hashes)
+        return node_of(own), len(own), *fingerprint_of(hashes, WORDS).view(np.int64).tolist()
+
     def run(batches):
-        for b in batches:
-            hashes = [shingle_hashes(t.as_py(), words) for t in b.column("text")]
-            sets = [np.unique(h) for h in hashes]
-            fp = np.array([fingerprint_of(h, WORDS) for h in hashes], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                                              *(pa.array(fp[:, w]) for w in range(WORDS))], ["doc_id", "node", "size", *fps])
+        for whole in released(batches):
+            for start in range(0, len(whole), 1024):
+                b = whole.slice(start, 1024)
+                found = np.array([one(t.as_py()) for t in b.column("text")], np.int64).reshape(-1, 2 + WORDS)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in found.T.copy())], ["doc_id", "node", "size", *fps])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     own = stored(texts.mapInArrow(run, "doc_id long, node long, size long, " + ", ".join(f"{f} long" for f in fps)), "near-docs")

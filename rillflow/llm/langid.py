@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import one_text
+from .common import one_text, released
 
 #: At most so many labelled documents, those of the least hash of doc_id, are learned from, each with one text.
 SAMPLE = 4000
 PROFILE = 400
-LONGEST = 1 << 20  # characters counted at a time
+LONGEST = 1 << 17  # characters counted at a time
 
 
 @lru_cache(maxsize=1)
@@ -72,7 +72,7 @@ def learn(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, k: int = PRO
     mine = one_text(docs.filter("text is not null"), ids).select("__lang", "text")
 
     def count(batches):
-        for b in batches:
+        for b in released(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 codes, n = gram_counts(text)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
@@ -116,7 +116,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], k: int = PROFILE, k
 
     def run(batches):
         model = Profiles(profiles, k)
-        for whole in batches:
+        for whole in released(batches):
             got = [model.predict(t.as_py()) for t in whole.column("text")]
             yield pa.RecordBatch.from_arrays([whole.column(keep), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [keep, "lang_pred", "score"])
 
@@ -141,7 +141,7 @@ def keep_known(docs: DataFrame, min_score: float = 0.02) -> DataFrame:
 
     def run(batches):
         model = Profiles(profiles)
-        for b in batches:
+        for b in released(batches):
             got = [model.predict(t.as_py()) for t in b.column("text")]
             kept = pa.array([lang != "und" and score >= min_score for lang, score in got], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("row").filter(kept)], ["row"])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Memo, RankArrays
-from .common import stored
+from .common import released, stored
 
 WEIGHTS = (1.0, 0.05, 0.05)
 
@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
     """doc_id, piece, start, length, ids_crc32 of each piece of at most ``capacity`` ids."""
     def run(batches):
         ids_of, end = WordIds(vocabulary), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
+        for whole in released(batches):
             for k in range(0, len(whole), 512):
                 b = whole.slice(k, 512)
                 who = b.column("doc_id").to_pylist()
