@@ -10,7 +10,8 @@ import pytest
 from rillflow.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["dem_scan", "multi_raster_stats", "slope_magnitude", "curvature_geometric", "quantile_8", "diffusion_kernel_3iter", "flow_accumulation_d8", "channel_heads", "geodesic_paths", "cross_section_values", "export_lines_wkt"]
+SOME = ["dem_scan", "multi_raster_stats", "slope_magnitude", "curvature_geometric", "quantile_8", "diffusion_kernel_3iter", "flow_accumulation_d8", "channel_heads", "geodesic_paths", "cross_section_values", "export_lines_wkt",
+        "qq_plot", "local_extrema", "reach_segments", "junctions", "bank_points", "section_map", "export_sections_wkt", "export_banks_wkt", "export_points_wkt", "flow_accumulation_mfd", "diffusion_kernel_30iter", "network_layers"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
