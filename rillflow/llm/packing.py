@@ -128,8 +128,15 @@ class WordIds:
             else:
                 low = w.lower()
             split.append([low] if low.isalpha() else [low[:-1], low[-1]] if low[:-1].isalpha() and low[-1] in ".,!|" else self.words(low))
-        flat = list({p for ps in split for p in ps})
-        ids = dict(zip(flat, self.merges.merge([p.encode() for p in flat])))
+        # A plain lower-case word is its own only part, so what was met as a word need not be merged again as a part of "word,".
+        young, old, ids, flat = self.memo.young, self.memo.old, {}, []
+        for p in {p for ps in split for p in ps}:
+            known = (young.get(p) or old.get(p)) if p.isascii() and p.isalpha() else None
+            if known is None:
+                flat.append(p)
+            else:
+                ids[p] = known
+        ids.update(zip(flat, self.merges.merge([p.encode() for p in flat])))
         out = [ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for ps in split]
         for k, w in enumerate(words):
             if "<" in w and any(s in w for s in self.special):
