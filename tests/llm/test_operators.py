@@ -321,6 +321,19 @@ def test_rules(spark, docs, rows, none, clashing):
     assert rules.quality(docs, labels.limit(0)).filter("kept = base_failed").count() == 0
     kept = rules.keep_good(clashing, labels)
     assert kept.columns == clashing.columns and kept.count() == sum(r["kept"] for r in got)
+    odd = [(rules.Condition("symbol_share", True, 0.01),), (rules.Condition("mean_word_chars", False, 4.0), rules.Condition("repeat_share", True, 0.1))]
+    some = [(k, " ".join(f"w{i * 7 + k}{'#' * (k % 3 if i % 4 == 0 else 0)}" for i in range(40 + k))) for k in range(40)]
+    judged = [r.asDict() for r in rules.judged(spark.createDataFrame([*some, (99, None)], "doc_id long, text string"), odd).collect()]
+    assert all(r["kept"] == (not r["base_failed"] and not any(rules.covers(rule, r) for rule in odd)) for r in judged)
+    assert {r["kept"] for r in judged if not r["base_failed"]} == {True, False}
+
+
+def test_columns_of_any_name(spark, clashing, rows):
+    """Extra columns with the names that operators use themselves change nothing for those not tested so above."""
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    for got in (lm.score_documents(clashing), simhash.near_duplicates(clashing), bpe.encode_decode(clashing, vocabulary("byte_bpe_50k.json")), pu.score(clashing, labels)):
+        assert got.count() == len(rows)
+    assert packing.pack(clashing, vocabulary("word_bpe_49k.json"), 2048).select("doc_id").distinct().count() == len({r[0] for r in rows})
 
 
 def test_list_finds_a_conjunction_and_prunes_noise():
