@@ -158,8 +158,8 @@ class Memo:
         self.make, self.young, self.old = make, {}, {}
         self.missing = partial(is_, None)
 
-    def join(self, texts: list[list[str]]) -> list[bytes]:
-        """The joined ids of each text's strings; strings not met before go to ``make`` together."""
+    def parts(self, texts: list[list[str]]) -> list[list[bytes]]:
+        """The ids of each text's strings; strings not met before go to ``make`` together."""
         young, old = self.young, self.old
         got = [list(map(young.get, ws)) for ws in texts]
         holes = [list(compress(range(len(g)), map(self.missing, g))) if None in g else () for g in got]
@@ -173,7 +173,11 @@ class Memo:
         young.update((w, ids) for w, ids in found.items() if len(w) <= SHORT)
         if len(young) >= MEMO:
             self.young, self.old = {}, young
-        return list(map(b"".join, got))
+        return got
+
+    def join(self, texts: list[list[str]]) -> list[bytes]:
+        """The joined ids of each text's strings."""
+        return list(map(b"".join, self.parts(texts)))
 
 
 class ByteBPE:

@@ -18,9 +18,12 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from itertools import pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ from .common import released, stored
 
 WEIGHTS = (1.0, 0.05, 0.05)
 
+#: Bytes of text whose distinct words are looked up together, and words whose ids are laid out together.
+PORTION, WORDS = 8 << 20, 1 << 20
+
 
 def best_fit(counts: dict[int, int], capacity: int, max_docs: int | None = None, max_cost: int | None = None,
              rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, int]:
@@ -118,33 +124,69 @@ class WordIds:
         self.merges = RankArrays(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
         self.words = regex.compile(self.PATTERN).findall
         self.memo = Memo(self._ids)
+        self.marks = pa.array([",", ".", "!", "|"])
+        self.mark_ids = [*self.merges.merge([m.encode() for m in self.marks.to_pylist()]), b""]
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        split = []
-        for w in words:
-            if not w.isascii():
-                w = unicodedata.normalize("NFC", w)
-                low = "".join(c.lower() for c in w) if "\u03a3" in w else w.lower()
-            else:
-                low = w.lower()
-            split.append([low] if low.isalpha() else [low[:-1], low[-1]] if low[:-1].isalpha() and low[-1] in ".,!|" else self.words(low))
-        # A plain lower-case word is its own only part, so what was met as a word need not be merged again as a part of "word,".
-        young, old, ids, flat = self.memo.young, self.memo.old, {}, []
-        for p in {p for ps in split for p in ps}:
-            known = (young.get(p) or old.get(p)) if p.isascii() and p.isalpha() else None
-            if known is None:
-                flat.append(p)
-            else:
-                ids[p] = known
-        ids.update(zip(flat, self.merges.merge([p.encode() for p in flat])))
-        out = [ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for ps in split]
+        """Ids of distinct words without white space."""
+        out, whole, cut = [b""] * len(words), [], []
         for k, w in enumerate(words):
-            if "<" in w and any(s in w for s in self.special):
-                out[k] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            if not (w.isascii() and w.islower() and w.isalpha()):
+                if "<" in w and any(s in w for s in self.special):
+                    out[k] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                    continue
+                if not w.isascii():
+                    w = unicodedata.normalize("NFC", w)
+                w = "".join(c.lower() for c in w) if "\u03a3" in w else w.lower()
+                if not w.isalpha():
+                    cut.append((k, self.words(w)))
+                    continue
+            whole.append((k, w))
+        parts = list({p for _, ps in cut for p in ps})
+        got = self.merges.merge([w.encode() for _, w in whole] + [p.encode() for p in parts])
+        for (k, _), ids in zip(whole, got):
+            out[k] = ids
+        of = dict(zip(parts, got[len(whole):]))
+        for k, ps in cut:
+            out[k] = b"".join(map(of.__getitem__, ps))
         return out
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        return self.memo.join([t.replace("\n", " ").split(" ") for t in texts])
+    def _distinct(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words; ASCII letters with at most one mark after them are looked up in lower case, without it."""
+        plain = pc.match_substring_regex(words, "^[A-Za-z]+[,.!|]?$")
+        mark = pc.if_else(plain, pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=self.marks), len(self.marks)), len(self.marks))
+        stem = pc.if_else(pc.less(mark, len(self.marks)), pc.utf8_slice_codeunits(words, 0, -1), words)
+        stems = pc.if_else(plain, pc.ascii_lower(stem), stem).dictionary_encode()
+        ids = self.memo.parts([stems.dictionary.to_pylist()])[0]
+        return list(map(add, map(ids.__getitem__, stems.indices.to_pylist()), map(self.mark_ids.__getitem__, mark.to_pylist())))
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of whole texts, as little-endian 32-bit integers. Each distinct word of the texts is looked up once."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        known = self._distinct(words.dictionary)
+        flat = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(size) - size
+        at, out, ends = words.indices.to_numpy(), [], [np.zeros(1, np.int64)]
+        for k in range(0, len(at), WORDS):
+            here = at[k:k + WORDS]
+            many = size[here]
+            end = np.cumsum(many)
+            out.append(flat[np.repeat(first[here] - (end - many), many) + np.arange(end[-1])].tobytes())
+            ends.append(ends[-1][-1] + end)
+        ids, cut = b"".join(out), 4 * np.concatenate(ends)[split.offsets.to_numpy()]
+        return [ids[a:b] for a, b in pairwise(cut.tolist())]
+
+
+def portions(batch: pa.RecordBatch, c: str, size: int = PORTION):
+    """Slices of a batch whose strings in c have about ``size`` bytes together; a longer one is a slice of its own."""
+    n = pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, k = np.cumsum(n), 0
+    while k < len(n):
+        end = max(k + 1, int(np.searchsorted(total, total[k] - n[k] + size, side="right")))
+        yield batch.slice(k, end - k)
+        k = end
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
@@ -152,11 +194,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
     def run(batches):
         ids_of, end = WordIds(vocabulary), np.array([end_id], "<u4").tobytes()
         for whole in released(batches):
-            for k in range(0, len(whole), 512):
-                b = whole.slice(k, 512)
+            for b in portions(whole, "text"):
                 who = b.column("doc_id").to_pylist()
                 rows: list[list] = [[], [], [], [], []]
-                for doc, ids in zip(who, ids_of.batch([t.as_py() or "" for t in b.column("text")])):
+                for doc, ids in zip(who, ids_of.batch(b.column("text"))):
                     ids += end
                     for p, s in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * s:4 * (s + capacity)]
