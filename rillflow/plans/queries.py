@@ -13,7 +13,7 @@ from ..config import TerrainConfig
 from ..functions import algebra, stats
 from ..functions.extrema import local_extrema
 from ..operators import flow, network, stencil
-from ..operators.graph import stored
+from ..operators.graph import shared_dir, stored
 from ..sources import geotiff, tables
 from . import pipeline, rasters
 from .rasters import FORMS, GT, NX, NY
@@ -144,8 +144,7 @@ def geotiff_round_trip(spark, d):
 def directory_stream(spark, d):
     from ..streaming.directory import run_available, stream_cells
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/rillflow"
-    at = f"{at.removeprefix('file://')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark).removeprefix('file://')}/stream-{uuid.uuid4().hex}"
     geotiff.write(rasters.lineitem(spark, d), f"{at}/in", "z", gt=GT)
     run_available(stream_cells(spark, f"file://{at}/in"), lambda c: stats.summary(c, "z").select("raster_id", "n", "n_valid", F.col("min").alias("lo"), F.col("max").alias("hi")), f"file://{at}/out", f"file://{at}/state")
     return spark.read.parquet(f"file://{at}/out").drop("batch")

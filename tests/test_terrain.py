@@ -183,3 +183,17 @@ def test_generations():
     assert generation("v0").connectivity == 4 and generation("v3") == TerrainConfig()
     with pytest.raises(ValueError):
         generation("v9")
+
+
+def test_shared_folder_has_no_default_on_a_cluster():
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    from rillflow.operators.graph import shared_dir
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
