@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, stored
+from ..operators.graph import components, shared_dir, stored
 
 __all__ = ["components", "documents", "one_text", "released", "local_path", "scratch", "shared_dir", "skewless_left_join", "stored"]
 
@@ -44,18 +44,6 @@ def released(batches):
         pa.default_memory_pool().release_unused()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as a URI or path.
-
-    It is ``spark.checkpoint.dir``; where that is unset (tests, local mode) one is set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "/tmp/checkpoints/rillflow"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
